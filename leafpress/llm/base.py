@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,3 +56,7 @@ def sealed(df: DataFrame, id_cols: dict[str, Column], outputs: list[str]) -> Dat
 def unsealed(df: DataFrame, *outputs: Column) -> DataFrame:
     fields = [c for c in df.schema["__row"].dataType.fieldNames() if c != "__none"]
     return df.select(*[F.col("__row").getField(c).alias(c) for c in fields], *outputs)
+
+
+def plus(schema: T.StructType, ddl: str) -> T.StructType:
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])

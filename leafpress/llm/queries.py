@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe_roundtrip
 from .lines import OP10_SQL, op10_line_dedup
+from .media import op2_media_columns
 from .mixing import OP1_SQL, op1_source_mix
 from .simhash import op9_simhash_groups
+from .toxicity import op7_toxic_segments
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
+    "op2_media_columns": op2_media_columns,
+    "op4_bpe_roundtrip": op4_bpe_roundtrip,
+    "op7_toxic_segments": op7_toxic_segments,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_line_dedup": op10_line_dedup,
 }

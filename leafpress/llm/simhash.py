@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import WORD, cut, documents, sealed, small_batches, unsealed
+from .base import WORD, cut, documents, plus, sealed, small_batches, unsealed
 from .components import components
 
 LINK_BITS, SHINGLE = 2, 3
@@ -70,7 +70,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = SHI
 
     small_batches(docs.sparkSession)
     inner = sealed(docs, {"__text": F.col(text_col)}, ["simhash"])
-    schema = inner.drop("__text").schema.add("simhash", "long")
+    schema = plus(inner.drop("__text").schema, "simhash long")
     return unsealed(inner.mapInArrow(prints, schema), F.col("simhash"))
 
 
