@@ -6,6 +6,7 @@ from .bpe import op4_bpe_roundtrip
 from .lines import OP10_SQL, op10_line_dedup
 from .media import op2_media_columns
 from .mixing import OP1_SQL, op1_source_mix
+from .records import op5_token_records
 from .simhash import op9_simhash_groups
 from .toxicity import op7_toxic_segments
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_media_columns": op2_media_columns,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
+    "op5_token_records": op5_token_records,
     "op7_toxic_segments": op7_toxic_segments,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_line_dedup": op10_line_dedup,
