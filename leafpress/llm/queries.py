@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe_roundtrip
+from .chunks import op8_chunk_fingerprints
 from .lines import OP10_SQL, op10_line_dedup
 from .media import op2_media_columns
 from .mixing import OP1_SQL, op1_source_mix
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op5_token_records": op5_token_records,
     "op7_toxic_segments": op7_toxic_segments,
+    "op8_chunk_fingerprints": op8_chunk_fingerprints,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_line_dedup": op10_line_dedup,
 }
