@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe_roundtrip
+from .chat import op6_chat_windows
 from .chunks import op8_chunk_fingerprints
 from .lines import OP10_SQL, op10_line_dedup
 from .media import op2_media_columns
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_media_columns": op2_media_columns,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op5_token_records": op5_token_records,
+    "op6_chat_windows": op6_chat_windows,
     "op7_toxic_segments": op7_toxic_segments,
     "op8_chunk_fingerprints": op8_chunk_fingerprints,
     "op9_simhash_groups": op9_simhash_groups,
