@@ -10,11 +10,13 @@ from .media import op2_media_columns
 from .mixing import OP1_SQL, op1_source_mix
 from .records import op5_token_records
 from .simhash import op9_simhash_groups
+from .suffixes import op3_suffix_dedup
 from .toxicity import op7_toxic_segments
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_media_columns": op2_media_columns,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op5_token_records": op5_token_records,
     "op6_chat_windows": op6_chat_windows,
