@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the shuffle files of finished jobs go: Spark's cleaner drops them when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches hold at most so many rows, as a row can be a long document. A smaller setting is kept."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -2,8 +2,8 @@
 
 A merge never spans two symbols that stand next to each other in no vocabulary token. So every piece of a text (a match of the
 tokenizer's pattern, as byte symbols, the last one with the end-of-word mark) is cut at each such pair; the fragments are
-encoded on their own and their ids follow each other. Fragments are remembered up to a bound, and a long fragment costs
-n log n by a heap of pairs.
+encoded on their own and their ids follow each other. Pieces are remembered up to a bound, and a long fragment costs n log n
+by a heap of pairs.
 
 The tokenizer file gives vocabulary, merges, added tokens and normalisation. Null texts count as empty and have no ids.
 Added tokens in a text are found first, as the tokenizers library does. Texts of any length are taken whole. Rows and other
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .base import documents, plus, sealed, small_batches, unsealed
 
-#: Fragments and pieces that a Python worker remembers at most.
-REMEMBER = 200_000
+#: Pieces that a Python worker remembers at most, and symbols from which on a fragment is merged by a heap.
+REMEMBER, LONG = 400_000, 40
 
 
 def byte_symbols() -> list[str]:
@@ -56,7 +56,6 @@ class Bpe:
         self.table = {b: s for b, s in enumerate(self.symbol)}
         self.joined = {p for t in self.ids for p in self._neighbours(t)}
         self.known: dict[str, list[int]] = {}
-        self.fragments: dict[tuple[str, ...], list[int]] = {}
 
     def _split(self, token: str) -> list[str]:
         if self.end and token.endswith(self.end) and len(token) > len(self.end):
@@ -106,26 +105,33 @@ class Bpe:
     def _piece(self, piece: str) -> list[int]:
         symbols = [self.symbol[b] for b in piece.encode("utf-8")]
         symbols[-1] += self.end
-        out: list[int] = []
-        start = 0
-        for i in range(1, len(symbols) + 1):
-            if i == len(symbols) or (symbols[i - 1], symbols[i]) not in self.joined:
-                out += self._fragment(tuple(symbols[start:i]))
-                start = i
-        return out
-
-    def _fragment(self, symbols: tuple[str, ...]) -> list[int]:
-        ids = self.fragments.get(symbols)
-        if ids is None:
-            ids = [self.ids[t] for t in self._merge(list(symbols)) if t in self.ids]
-            if len(symbols) <= 64:
-                if len(self.fragments) >= REMEMBER:
-                    self.fragments.clear()
-                self.fragments[symbols] = ids
-        return ids
+        pairs = list(zip(symbols, symbols[1:], strict=False))
+        forced = [i + 1 for i, p in enumerate(pairs) if p not in self.joined]
+        if not forced:
+            return self._fragment(symbols)
+        bounds = [0, *forced, len(symbols)]
+        return [i for a, b in zip(bounds, bounds[1:], strict=False) for i in self._fragment(symbols[a:b])]
+
+    def _fragment(self, symbols: list[str]) -> list[int]:
+        ids = self.ids
+        return [ids[t] for t in (self._merge(symbols) if len(symbols) >= LONG else self._merge_short(symbols)) if t in ids]
+
+    def _merge_short(self, symbols: list[str]) -> list[str]:
+        """Best pair first, leftmost among equals."""
+        get, none = self.rank.get, len(self.rank)
+        ranks = [get(p, none) for p in zip(symbols, symbols[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((symbols[i - 1], symbols[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((symbols[i], symbols[i + 1]), none)
+        return symbols
 
     def _merge(self, symbols: list[str | None]) -> list[str]:
-        """Best pair first, leftmost among equals."""
+        """The same in n log n."""
         n, rank = len(symbols), self.rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank.get((symbols[i], symbols[i + 1]))) is not None]

@@ -17,14 +17,14 @@ for each text. Other columns stay. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import cut, documents, sealed, unsealed
+from .base import cut, documents, release, sealed, table, unsealed
 
-#: Code points in a block at most, and blocks in a line at least.
-BLOCK, BLOCKS = 2048, 4
-_blank = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+#: Code points in a block at most.
+BLOCK = 2048
+_BLANK = " \t\n\v\f\r"
 
 
 def _lines(text: Column) -> Column:
@@ -33,74 +33,83 @@ def _lines(text: Column) -> Column:
 
 def _bounds(n: Column, j: Column) -> tuple[Column, Column]:
     """Code points before block j of a line seen as n, and after it."""
-    blocks = F.greatest(F.lit(BLOCKS), F.ceil(n / BLOCK).cast("int"))
+    blocks = F.greatest(F.lit(2), F.ceil(n / BLOCK).cast("int"))
     return F.floor(j.cast("long") * n / blocks).cast("int"), (n - F.floor((j.cast("long") + 1) * n / blocks)).cast("int")
 
 
-def _views(line: Column, length: Column) -> Column:
-    """For both lengths that a partner's pair can have, and each block: (n, j, hash of all other blocks)."""
-
-    def of(n: Column) -> Column:
-        blocks = F.greatest(F.lit(BLOCKS), F.ceil(n / BLOCK).cast("int"))
+def _views(line: Column, m: Column) -> Column:
+    """For both lengths that a line can have seen as the shorter of a pair, and each block: (n, j, hash of the other blocks)."""
+    # Seen as m or m - 1, a line has two halves each, of which one is the same: three strings to hash.
+    half, odd = F.floor(m / 2).cast("int"), m % 2 == 1
+    hashed = lambda start, size: F.xxhash64(F.substring(line, start, size))
+    before, after = hashed(F.lit(1), half), hashed(half + 1, m - half)
+    third = F.when(odd, hashed(half + 2, m - half - 1)).otherwise(hashed(F.lit(1), half - 1))
+    entry = lambda n, j, rest: F.struct(n.alias("n"), F.lit(j).alias("j"), F.xxhash64(n, F.lit(j), rest).alias("rest"))
+    whole = (entry(m, 0, after), entry(m, 1, before))
+    less = (entry(m - 1, 0, F.when(odd, third).otherwise(after)), entry(m - 1, 1, F.when(odd, before).otherwise(third)))
 
+    def many(n: Column) -> Column:
         def view(j: Column) -> Column:
             before, after = _bounds(n, j)
-            return F.struct(n.alias("n"), j.alias("j"), F.xxhash64(n, j, F.substring(line, F.lit(1), before), F.right(line, after)).alias("rest"))
+            return F.struct(n.alias("n"), j.alias("j"), F.xxhash64(n, j, F.substring(line, F.lit(1), before), F.substring(line, m - after + 1, after)).alias("rest"))
 
-        return F.transform(F.sequence(F.lit(0), blocks - 1), view)
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(2), F.ceil(n / BLOCK).cast("int")) - 1), view)
 
-    return F.concat(of(length), of(length - 1))
+    of = lambda n, halves: F.when(n <= 2 * BLOCK, F.array(*halves)).otherwise(many(n))
+    return F.when(m == 1, F.array(*whole)).otherwise(F.concat(of(m, whole), of(m - 1, less)))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the kept lines as text, and lines_total, lines_kept (long; null text: 0)."""
     keyed = sealed(docs, {"did": F.col(id_col), "text": F.col(text_col)}, [text_col, "lines_total", "lines_kept"])
     keyed = keyed.withColumns({"dk": F.coalesce(F.col("did").cast("string"), F.lit("")), "th": F.xxhash64("text")})
-    rows = keyed.select("did", "dk", "th", F.posexplode(_lines(F.col("text"))).alias("no", "raw"))
-    line = F.regexp_replace("raw", _blank, "")
-    rows = rows.select(F.struct(F.isnull("did").alias("none"), "did", "th", "no").alias("pos"), "dk", "th", "no", line.alias("line")).filter("line != ''")
-    rows = rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    rows = keyed.select("did", "th", F.posexplode(_lines(F.col("text"))).alias("no", "raw"))
+    rows = rows.select(F.struct(F.isnull("did").alias("none"), "did", "th", "no").alias("pos"), F.btrim("raw", F.lit(_BLANK)).alias("line")).filter("line != ''").withColumn("m", F.char_length("line"))
+    rows = table(rows.select("pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), _views(F.col("line"), F.col("m")).alias("views")), "lines")
 
+    near = cut(_near(rows, keyed.select("dk", "th", "text")))
+    release(docs.sparkSession)
     first = rows.groupBy("h1", "h2").agg(F.min("pos").alias("first"))
-    near = cut(_near(rows, first, keyed))
-    decided = rows.select("dk", "th", "no", "pos", "h1", "h2").join(first, ["h1", "h2"]).join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
-    gone = decided.filter(F.col("near").isNotNull() | (F.col("pos") > F.col("first"))).groupBy("dk", "th").agg(F.collect_set("no").alias("gone"))
+    decided = rows.select("pos", "h1", "h2").join(first.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left"), ["h1", "h2"])
+    gone = decided.filter(F.col("near").isNotNull() | (F.col("pos") > F.col("first"))).select(F.coalesce(F.col("pos.did").cast("string"), F.lit("")).alias("dk"), F.col("pos.th").alias("th"), F.col("pos.no").alias("no")).groupBy("dk", "th").agg(F.collect_set("no").alias("gone"))
 
     held = keyed.join(gone, ["dk", "th"], "left")
     every = _lines(F.col("text"))
-    kept = F.filter(every, lambda _, i: ~F.array_contains(F.col("gone"), i))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    total = F.coalesce(F.size(every), F.lit(0)).cast("long")
-    total = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(total)
-    done = unsealed(held, text.alias(text_col), total.alias("lines_total"), (total - F.coalesce(F.size("gone"), F.lit(0))).cast("long").alias("lines_kept"))
+    kept = F.array_join(F.array_compact(F.transform(every, lambda x, i: F.when(~F.array_contains("gone", i), x))), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    total = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(every)).cast("long")
+    less = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone"))
+    done = unsealed(held, text.alias(text_col), total.alias("lines_total"), (total - less).cast("long").alias("lines_kept"))
     return done.select(*docs.columns, *[c for c in ("lines_total", "lines_kept") if c not in docs.columns])
 
 
-def _near(rows: DataFrame, first: DataFrame, keyed: DataFrame) -> DataFrame:
+def _near(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(h1, h2) of the lines that have an earlier line at one edit."""
-    views = rows.select("h1", "h2", F.explode(_views(F.col("line"), F.char_length("line"))).alias("v")).select("h1", "h2", F.col("v.n").alias("n"), F.col("v.j").alias("j"), F.col("v.rest").alias("rest")).filter("n > 0")
-    shared = views.groupBy("rest").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("rest")
-    wanted = views.join(shared, "rest", "left_semi").groupBy("h1", "h2").agg(F.collect_set(F.struct("n", "j", "rest")).alias("views"))
+    lines = rows.groupBy("h1", "h2").agg(F.min(F.struct("pos", "views")).alias("least"))
+    views = lines.select("h1", "h2", F.explode("least.views").alias("v")).select("h1", "h2", "v.*")
+    # Lines with equal text are one row here, so a key has as many rows as different lines agree on it.
+    shared = views.withColumn("lines", F.count("*").over(Window.partitionBy("rest"))).filter("lines > 1")
+    wanted = shared.groupBy("h1", "h2").agg(F.collect_list(F.struct("n", "j", "rest")).alias("wanted"))
     # The text comes from the document where the line starts first.
-    at = wanted.join(first, ["h1", "h2"]).select("h1", "h2", "views", "first", F.coalesce(F.col("first.did").cast("string"), F.lit("")).alias("dk"), F.col("first.th").alias("th"))
-    at = at.groupBy("dk", "th").agg(F.collect_list(F.struct("h1", "h2", "views", "first")).alias("wanted"))
-    texts = keyed.select("dk", "th", "text").dropDuplicates(["dk", "th"])
-    lines = at.join(texts, ["dk", "th"]).select(_lines(F.col("text")).alias("all"), F.explode("wanted").alias("w"))
-    lines = cut(lines.select(F.struct(F.col("w.first").alias("first"), F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2")).alias("id"), "w.views", F.regexp_replace(F.col("all")[F.col("w.first.no")], _blank, "").alias("line")))
+    at = wanted.join(lines.select("h1", "h2", F.col("least.pos").alias("first")), ["h1", "h2"])
+    at = at.groupBy(F.coalesce(F.col("first.did").cast("string"), F.lit("")).alias("dk"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct(F.struct("first", "h1", "h2").alias("id"), "wanted")).alias("of_doc"))
+    found = at.join(texts, ["dk", "th"]).select(_lines(F.col("text")).alias("all"), F.explode("of_doc").alias("w"))
+    found = cut(found.select("w.id", "w.wanted", F.btrim(F.col("all")[F.col("w.id.first.no")], F.lit(_BLANK)).alias("line")))
+    release(rows.sparkSession)
 
-    seen = lines.select("id", "line", F.char_length("line").alias("m"), F.explode("views").alias("v")).select("id", "line", "m", "v.*")
+    seen = found.select("id", "line", F.char_length("line").alias("m"), F.explode("wanted").alias("v")).select("id", "line", "m", "v.*")
     before, after = _bounds(F.col("n"), F.col("j"))
-    seen = seen.withColumns({"before": before, "block": F.substring("line", before + 1, F.col("m") - before - after)})
+    seen = seen.select("id", "m", "n", "rest", F.substring("line", before + 1, F.col("m") - before - after).alias("block"))
     size = F.char_length("block")
-    deleted = F.transform(F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("i"), F.concat(F.substring("block", F.lit(1), i - 1), F.substring(F.col("block"), i + 1, size)).alias("left")))
-    replaced = F.transform(deleted, lambda d: F.struct(F.lit("r").alias("kind"), F.xxhash64(F.lit("r"), F.col("rest"), d["i"], d["left"]).alias("key")))
-    longer = F.transform(deleted, lambda d: F.struct(F.lit("d").alias("kind"), F.xxhash64(F.lit("w"), F.col("rest"), d["left"]).alias("key")))
-    whole = F.array(F.struct(F.lit("w").alias("kind"), F.xxhash64(F.lit("w"), F.col("rest"), F.col("block")).alias("key")))
-    variants = seen.select("id", F.explode(F.when(F.col("m") == F.col("n"), F.concat(replaced, whole)).otherwise(longer)).alias("k")).select("id", "k.kind", "k.key").distinct()
+    without = lambda i: F.concat(F.substring("block", F.lit(1), i - 1), F.substring(F.col("block"), i + 1, size))
+    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+    kinds = {"r": F.transform(places, lambda i: F.xxhash64(F.lit("r"), F.col("rest"), i, without(i))), "d": F.transform(places, lambda i: F.xxhash64(F.lit("w"), F.col("rest"), without(i))), "w": F.array(F.xxhash64(F.lit("w"), F.col("rest"), F.col("block")))}
+    tagged = lambda k: F.transform(kinds[k], lambda x: F.struct(F.lit(k).alias("kind"), x.alias("key")))
+    variants = seen.select("id", F.explode(F.when(F.col("m") == F.col("n"), F.concat(tagged("r"), tagged("w"))).otherwise(tagged("d"))).alias("k")).select("id", "k.*").distinct()
     best = variants.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.col("id"))).alias(f"best_{k}") for k in "rwd"])
     partner = F.when(F.col("kind") == "r", F.col("best_r")).when(F.col("kind") == "d", F.col("best_w")).otherwise(F.col("best_d"))
     pairs = variants.join(best, "key").select("id", partner.alias("other")).filter("other < id").distinct()
-    text = lines.select("id", "line")
+    text = found.select("id", "line")
     checked = pairs.join(text, "id").join(text.select(F.col("id").alias("other"), F.col("line").alias("earlier")), "other").filter(F.levenshtein("line", "earlier", 1).between(0, 1))
     return checked.select("id.h1", "id.h2").distinct()
 
