@@ -138,7 +138,8 @@ def in_neighbour_order(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     every = Window.orderBy("deal")
     heads = heads.select("deal", "head.nid", "head.th", F.coalesce(F.lag("deal").over(every), F.max("deal").over(Window.partitionBy())).alias("to"))
     heads = heads.select(F.col("deal").alias("d"), F.col("nid").alias("i"), F.col("th").alias("h"), "to")
-    extras = rows.join(heads, (F.col("deal") == F.col("d")) & F.col("nid").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")))
+    # At most 2 n + 1 rows, so they can go to every task whatever the input.
+    extras = rows.join(F.broadcast(heads), (F.col("deal") == F.col("d")) & F.col("nid").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")))
     both = rows.select("nid", "text", "th", "deal", F.lit(False).alias("extra")).unionByName(extras.select("nid", "text", "th", F.col("to").alias("deal"), F.lit(True).alias("extra")))
     dealt = both.repartitionByRange(n, "deal").sortWithinPartitions("deal", "extra", F.isnull("nid"), "nid", "th")
     return dealt.select(F.bitwise_not("nid").alias("id"), "text", "deal", "extra")
