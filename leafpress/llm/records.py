@@ -26,7 +26,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import documents, shared_dir, small_batches
+from .base import documents, shared_dir, small_batches, table
+from .bpe import byte_symbols
+from .pieces import finder
 
 END_ID = 2
 #: A shard takes about so many bytes of text.
@@ -117,7 +119,7 @@ def unframe(data: bytes, where: str = "") -> list[tuple[int, bytes]]:
 
 
 class Pieces:
-    """A byte-level BPE tokenizer that remembers pieces up to a bound: new ones go through the tokenizers library."""
+    """A byte-level BPE tokenizer of the tokenizers library, with its pieces found here and remembered up to a bound."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -128,27 +130,39 @@ class Pieces:
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.added = added
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")").split if added else lambda x: [x]
-        self.find = regex.compile(PIECES).findall
+        self.find = finder(PIECES)
         self.width = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self)
+        self.tokenize, self.symbols = self.tokenizer.model.tokenize, str.maketrans(dict(enumerate(byte_symbols())))
+
+    def ids(self, piece: str) -> list[int]:
+        if piece in self.added:
+            return [self.added[piece]]
+        return [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.symbols))]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of 2 or 4 bytes."""
-        pieces = []
+        out = []
         for text in texts:
-            of_text: list[str] = []
-            for i, part in enumerate(self.split(text or "")):
-                of_text += [part] if i % 2 else self.find(part)
-            pieces.append(of_text)
-        new = list({p for of_text in pieces for p in of_text if p not in self.known})
-        if len(self.known) + len(new) > REMEMBER:
-            self.known.clear()
-            new = list({p for of_text in pieces for p in of_text})
-        for at in range(0, len(new), 4096):
-            block = new[at : at + 4096]
-            for p, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                self.known[p] = array(self.width, e.ids).tobytes()
-        return [b"".join(map(self.known.__getitem__, of_text)) for of_text in pieces]
+            parts = self.split(text) if text and any(a in text for a in self.added) else [text or ""]
+            pieces = [p for i, part in enumerate(parts) for p in ([part] if i % 2 else self.find(part))] if len(parts) > 1 else self.find(parts[0])
+            out.append(b"".join(map(self.known.__getitem__, pieces)))
+        return out
+
+
+class Known(dict):
+    """Ids of the pieces met so far; a new one goes through the tokenizers library's model."""
+
+    def __init__(self, of: Pieces):
+        self.of = of
+
+    def __missing__(self, piece: str) -> bytes:
+        found = array(self.of.width, self.of.ids(piece)).tobytes()
+        if len(piece) <= 64:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[piece] = found
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -242,6 +256,7 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_records(documents(spark, sf_dir), top, default_path())
     digest = _rows(lambda ids: {"n": len(ids), "crc": crc32(ids.astype("<u4").tobytes())}, pa.struct([("n", pa.int64()), ("crc", pa.int64())]))
     rows = _files(spark, top).mapInArrow(digest, "shard long, place long, id long, value struct<n:bigint,crc:bigint>").select("shard", "place", "id", "value.*")
+    rows = table(rows, "digests")
     # One row a file: as many as the data has shards, a few bytes each.
     before = rows.groupBy("shard").agg(F.sum("n").alias("total")).select("shard", F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
