@@ -14,7 +14,7 @@ from hashlib import md5
 from ..functions.resolve import host_of, origin_of, resolve
 from .dom import Node
 
-SPACE = " \t\n\r\f\v   -     　﻿"
+SPACE = " \t\n\r\f\v\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _spaces, _trim = re.compile(f"[{SPACE}]+"), re.compile(f"^[{SPACE}]+|[{SPACE}]+$")
 _whole_strong, _whole_em = re.compile(r"^\*\*(.*?)\*\*$"), re.compile(r"^_(.*?)_$")
 _heading_prefix, _highlight = re.compile(r"^#+ "), re.compile(r"highlight-(?:text|source)-([a-z0-9]+)")
@@ -390,7 +390,7 @@ class Images:
 
 
 #: Characters with a meaning in citation links, and what stands for them there.
-CITATION_ESCAPES = str.maketrans({"【": "〖", "】": "〗", "◼": "◾", "​": "", "†": "‡"})
+CITATION_ESCAPES = str.maketrans({"\u3010": "\u3016", "\u3011": "\u3017", "\u25fc": "\u25fe", "\u200b": "", "\u2020": "\u2021"})
 
 
 @dataclass
