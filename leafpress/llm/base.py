@@ -38,7 +38,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets the shuffle files of finished jobs go: Spark's cleaner drops them when the driver collects its garbage."""
+    """Lets the shuffle files of finished jobs go: Spark's cleaner drops them when the driver collects its garbage. This works for
+    what table() has written; a checkpoint holds on to the plan it came from."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -18,6 +18,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -25,9 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import documents, plus, sealed, small_batches, unsealed
+from .pieces import finder
 
 #: Pieces that a Python worker remembers at most, and symbols from which on a fragment is merged by a heap.
-REMEMBER, LONG = 400_000, 40
+REMEMBER, LONG = 800_000, 40
 
 
 def byte_symbols() -> list[str]:
@@ -51,11 +53,11 @@ class Bpe:
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.find_added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        self.pieces = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")).findall
-        self.symbol = byte_symbols()
-        self.table = {b: s for b, s in enumerate(self.symbol)}
+        self.pieces = finder(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        self.spaced = bool(self.pieces(" a \t\n\u3000 ") != ["a"])
+        self.table = dict(enumerate(byte_symbols()))
         self.joined = {p for t in self.ids for p in self._neighbours(t)}
-        self.known: dict[str, list[int]] = {}
+        self.known = Known(self)
 
     def _split(self, token: str) -> list[str]:
         if self.end and token.endswith(self.end) and len(token) > len(self.end):
@@ -72,10 +74,11 @@ class Bpe:
             if step == "NFC":
                 text = unicodedata.normalize("NFC", text)
             elif step == "Replace":
-                text = _spaces(" ", text)
+                # White space in no piece: then collapsing it changes none.
+                text = _spaces(" ", text) if self.spaced else text
             elif step == "Lowercase":
                 # Each code point on its own: no final sigma.
-                text = text.lower() if text.isascii() or "Σ" not in text else "".join(c.lower() for c in text)
+                text = text.lower() if text.isascii() or "\u03a3" not in text else "".join(c.lower() for c in text)
             else:
                 raise ValueError(f"unknown normaliser {step}")
         return text
@@ -91,19 +94,10 @@ class Bpe:
         return out
 
     def _encode_plain(self, text: str, out: list[int]) -> None:
-        known = self.known
-        for piece in self.pieces(self.normalised(text)):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self._piece(piece)
-                if len(piece) <= 64:
-                    if len(known) >= REMEMBER:
-                        known.clear()
-                    known[piece] = ids
-            out += ids
+        out.extend(chain.from_iterable(map(self.known.__getitem__, self.pieces(self.normalised(text)))))
 
     def _piece(self, piece: str) -> list[int]:
-        symbols = [self.symbol[b] for b in piece.encode("utf-8")]
+        symbols = list(piece.encode().decode("latin-1").translate(self.table))
         symbols[-1] += self.end
         pairs = list(zip(symbols, symbols[1:], strict=False))
         forced = [i + 1 for i, p in enumerate(pairs) if p not in self.joined]
@@ -155,6 +149,21 @@ class Bpe:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
+class Known(dict):
+    """Ids of the pieces met so far."""
+
+    def __init__(self, of: Bpe):
+        self.of = of
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.of._piece(piece)
+        if len(piece) <= 64:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 _spaces = regex.compile(r"\s+").sub
 
 

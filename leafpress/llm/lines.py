@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import cut, documents, release, sealed, table, unsealed
+from .base import documents, release, sealed, table, unsealed
 
 #: Code points in a block at most.
 BLOCK = 2048
@@ -67,7 +67,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = rows.select(F.struct(F.isnull("did").alias("none"), "did", "th", "no").alias("pos"), F.btrim("raw", F.lit(_BLANK)).alias("line")).filter("line != ''").withColumn("m", F.char_length("line"))
     rows = table(rows.select("pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), _views(F.col("line"), F.col("m")).alias("views")), "lines")
 
-    near = cut(_near(rows, keyed.select("dk", "th", "text")))
+    near = table(_near(rows, keyed.select("dk", "th", "text")), "near")
     release(docs.sparkSession)
     first = rows.groupBy("h1", "h2").agg(F.min("pos").alias("first"))
     decided = rows.select("pos", "h1", "h2").join(first.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left"), ["h1", "h2"])
@@ -94,7 +94,7 @@ def _near(rows: DataFrame, texts: DataFrame) -> DataFrame:
     at = wanted.join(lines.select("h1", "h2", F.col("least.pos").alias("first")), ["h1", "h2"])
     at = at.groupBy(F.coalesce(F.col("first.did").cast("string"), F.lit("")).alias("dk"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct(F.struct("first", "h1", "h2").alias("id"), "wanted")).alias("of_doc"))
     found = at.join(texts, ["dk", "th"]).select(_lines(F.col("text")).alias("all"), F.explode("of_doc").alias("w"))
-    found = cut(found.select("w.id", "w.wanted", F.btrim(F.col("all")[F.col("w.id.first.no")], F.lit(_BLANK)).alias("line")))
+    found = table(found.select("w.id", "w.wanted", F.btrim(F.col("all")[F.col("w.id.first.no")], F.lit(_BLANK)).alias("line")), "candidates")
     release(rows.sparkSession)
 
     seen = found.select("id", "line", F.char_length("line").alias("m"), F.explode("wanted").alias("v")).select("id", "line", "m", "v.*")
