@@ -7,7 +7,10 @@ import json
 import re
 from typing import Any
 
+import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _number = re.compile(r"-?\d*\.?\d*(?:[eE][+-]?\d*)?")
 _literals = {"true": True, "false": False, "null": None, "none": None, "nan": None, "undefined": None}
@@ -133,8 +136,14 @@ def _close(stack: list[list], put) -> Any:
     return container
 
 
-@F.pandas_udf("string")
-def repaired(text):
+def repaired(text: Column | str) -> Column:
     """Valid JSON of what a text holds; null if it holds none."""
     missing = object()
-    return text.map(lambda x: None if x is None or (v := parse(x, missing)) is missing else json.dumps(v, ensure_ascii=False, separators=(",", ":")))
+
+    def of(x: str | None) -> str | None:
+        return None if x is None or (v := parse(x, missing)) is missing else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(of)
+
+    return F.pandas_udf(run, T.StringType())(text)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..options import FALSE_TEXTS
 
@@ -129,34 +131,32 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / 4).cast("long")
 
 
-def token_counter(path: str):
-    """Exact counts by a tokenizer file (JSON of the tokenizers library), as an Arrow-batched function of a string column."""
+def token_counter(path: str, text: Column | str) -> Column:
+    """Exact counts by a tokenizer file (JSON of the tokenizers library)."""
 
-    @F.pandas_udf("long")
-    def count(text):
+    def run(texts: pd.Series) -> pd.Series:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        return text.map(lambda x: len(tokenizer.encode(x, add_special_tokens=False).ids) if x is not None else 0)
+        return texts.map(lambda x: len(tokenizer.encode(x, add_special_tokens=False).ids) if x is not None else 0)
 
-    return count
+    return F.pandas_udf(run, T.LongType())(text)
 
 
-def token_trimmer(path: str, limit: int):
+def token_trim(path: str, text: Column | str, limit: int) -> Column:
     """The text of the first limit tokens, without a cut-off character at its end."""
 
-    @F.pandas_udf("string")
-    def trim(text):
+    def run(texts: pd.Series) -> pd.Series:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
 
-        def of(x):
+        def of(x: str | None) -> str | None:
             if x is None:
                 return None
             ids = tokenizer.encode(x, add_special_tokens=False).ids
             return x if len(ids) <= limit else tokenizer.decode(ids[:limit], skip_special_tokens=False).rstrip("\ufffd")
 
-        return text.map(of)
+        return texts.map(of)
 
-    return trim
+    return F.pandas_udf(run, T.StringType())(text)

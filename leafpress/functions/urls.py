@@ -65,8 +65,8 @@ def object_url(data_url: Column, base: Column) -> Column:
 
 def data_url_parts(url: Column) -> Column:
     """Media type and bytes of a base64 data URL; null for any other URL."""
-    pattern = r"^data:([^;,]*)(?:;[^,]*)?;base64,(.*)$"
-    return F.when(url.rlike(pattern), F.struct(F.regexp_extract(url, pattern, 1).alias("type"), F.unbase64(F.regexp_extract(url, pattern, 2)).alias("body")))
+    pattern = r"(?s)^data:([^;,]*)(?:;[^,]*)?;base64,(.*)$"
+    return F.when(url.rlike(pattern), F.struct(F.regexp_extract(url, pattern, 1).alias("type"), F.unbase64(F.regexp_replace(F.regexp_extract(url, pattern, 2), r"\s", "")).alias("body")))
 
 
 def file_name(disposition: Column, url: Column) -> Column:

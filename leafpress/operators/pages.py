@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,15 +58,20 @@ def _plain(value):
     return list(value.items()) if isinstance(value, dict) else value if not isinstance(value, dict) else value
 
 
-@F.pandas_udf("string")
-def clean_html(html):
-    return html.map(lambda h: cleaned(h) if h is not None else None)
+def clean_html(html: str) -> Column:
+    """A column of HTML made small for a language model."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: cleaned(x) if x is not None else None)
+
+    return F.pandas_udf(run, T.StringType())(html)
 
 
 def squeeze_blank_lines(text: Column) -> Column:
+    """Lines that aren't blank or follow one that isn't."""
     lines = F.split(text, r"\r?\n")
-    full = F.transform(lines, lambda x: F.length(F.trim(x)) > 0)
-    return F.array_join(F.filter(lines, lambda x, i: full[i] | ((i > 0) & F.get(full, i - 1))), "\n")
+    paired = F.zip_with(lines, F.concat(F.array(F.lit("")), lines), lambda x, before: F.when((F.length(F.trim(x)) > 0) | (F.length(F.trim(before)) > 0), x))
+    return F.array_join(F.filter(paired, lambda x: x.isNotNull()), "\n")
 
 
 def link_summary(links: DataFrame, by: Sequence[str], pos: str = "pos", text: str = "text", href: str = "href") -> DataFrame:

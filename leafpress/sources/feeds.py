@@ -1,17 +1,21 @@
-"""Feeds and sitemaps as rows, by Spark's own XPath."""
+"""Feeds and sitemaps as rows, by Spark's own XML parser."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ROOT = r"(?s)^\s*(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>|\s)*<([A-Za-z_][\w.:-]*)"
-#: Kind to the elements of items, and fields of an item.
-SHAPES = {
-    "rss": ("/rss/channel/item", {"title": "title", "href": "link", "description": "description", "date": "pubDate"}, ("/rss/channel/title", "/rss/channel/description")),
-    "feed": ("/*[local-name()='feed']/*[local-name()='entry']", {"title": "*[local-name()='title']", "href": "*[local-name()='link']/@href", "description": "*[local-name()='summary']", "date": "*[local-name()='updated']"}, ("/*[local-name()='feed']/*[local-name()='title']", "/*[local-name()='feed']/*[local-name()='subtitle']")),
-    "sitemapindex": ("/*[local-name()='sitemapindex']/*[local-name()='sitemap']", {"href": "*[local-name()='loc']", "date": "*[local-name()='lastmod']"}, (None, None)),
-    "urlset": ("/*[local-name()='urlset']/*[local-name()='url']", {"href": "*[local-name()='loc']", "date": "*[local-name()='lastmod']"}, (None, None)),
+_ITEM = "title:string,link:string,description:string,pubDate:string"
+_ENTRY = "title:string,link:array<struct<_href:string,_rel:string>>,summary:string,updated:string"
+_PLACE = "array<struct<loc:string,lastmod:string>>"
+#: Root element to the schema of its content.
+SCHEMAS = {
+    "rss": f"struct<channel:struct<title:string,description:string,item:array<struct<{_ITEM}>>>>",
+    "feed": f"struct<title:string,subtitle:string,entry:array<struct<{_ENTRY}>>>",
+    "sitemapindex": f"struct<sitemap:{_PLACE}>",
+    "urlset": f"struct<url:{_PLACE}>",
 }
 
 
@@ -20,33 +24,39 @@ def kind(xml: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_extract(xml, _ROOT, 1), "^.*:", ""))
 
 
-def items(feeds: DataFrame, key: str, xml: str = "xml", max_items: int = 50_000) -> DataFrame:
-    """(key, kind, pos, title, href, description, date) of every item. Entries of both feed kinds are listed. max_items is the
-    number of items a file of these formats can have by its standard."""
-    rows = feeds.select(key, xml, kind(F.col(xml)).alias("kind"))
+def _read(feeds: DataFrame, key: str, xml: str) -> dict[str, DataFrame]:
+    """(key, kind, r) by kind: r is the parsed file. Each file is parsed once, by the schema of its kind."""
+    rows = feeds.select(key, kind(F.col(xml)).alias("kind"), F.col(xml).alias("__xml"))
+    return {name: rows.filter(F.col("kind") == name).select(key, "kind", F.from_xml("__xml", T.StructType.fromDDL(f"r {schema}")["r"].dataType).alias("r")) for name, schema in SCHEMAS.items()}
+
+
+def items(feeds: DataFrame, key: str, xml: str = "xml") -> DataFrame:
+    """(key, kind, pos, title, href, description, date) of every item, pos from 1. Entries of both feed kinds are listed."""
+    of = _read(feeds, key, xml)
+    none = F.lit(None).cast("string")
+    link = F.coalesce(F.try_element_at(F.filter("i.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(1))["_href"], F.try_element_at(F.col("i.link"), F.lit(1))["_href"])
+    fields = {
+        "rss": ("r.channel.item", (F.col("i.title"), F.col("i.link"), F.col("i.description"), F.col("i.pubDate"))),
+        "feed": ("r.entry", (F.col("i.title"), link, F.col("i.summary"), F.col("i.updated"))),
+        "sitemapindex": ("r.sitemap", (none, F.col("i.loc"), none, F.col("i.lastmod"))),
+        "urlset": ("r.url", (none, F.col("i.loc"), none, F.col("i.lastmod"))),
+    }
     out = None
-    for name, (path, fields, _) in SHAPES.items():
-        of = rows.filter(F.col("kind") == name)
-        n = F.xpath_int(F.col(xml), F.lit(f"count({path})"))
-        at = of.withColumn("pos", F.explode(F.when(n > 0, F.sequence(F.lit(1), F.least(n, F.lit(max_items)))).otherwise(F.array().cast("array<int>"))))
-        # Paths must be constant, so each field is read as a list once and taken by position.
-        read = lambda f: F.xpath(F.col(xml), F.lit(f"{path}/{f}/text()" if "@" not in f else f"{path}/{f}"))
-        same = lambda f: F.xpath_int(F.col(xml), F.lit(f"count({path}[{f}])"))
-        found = at.select(key, "kind", "pos", *[(F.when(same(fields[c]) == n, F.try_element_at(read(fields[c]), F.col("pos"))) if c in fields else F.lit(None).cast("string")).alias(c) for c in ("title", "href", "description", "date")])
+    for name, (path, columns) in fields.items():
+        found = of[name].select(key, "kind", F.posexplode(path).alias("p", "i")).select(key, "kind", (F.col("p") + 1).alias("pos"), *[F.trim(c).alias(n) for n, c in zip(("title", "href", "description", "date"), columns, strict=True)])
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def heads(feeds: DataFrame, key: str, xml: str = "xml") -> DataFrame:
     """(key, kind, title, description)."""
-    rows = feeds.select(key, xml, kind(F.col(xml)).alias("kind"))
-    title, text = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, (_, _, (t, d)) in SHAPES.items():
-        if t:
-            title = F.when(F.col("kind") == name, F.xpath_string(F.col(xml), F.lit(t))).otherwise(title)
-            text = F.when(F.col("kind") == name, F.xpath_string(F.col(xml), F.lit(d))).otherwise(text)
-    title = F.when(F.col("kind") == "sitemapindex", "Sitemap Index").when(F.col("kind") == "urlset", "Sitemap").otherwise(title)
-    return rows.select(key, "kind", title.alias("title"), F.coalesce(text, F.lit("")).alias("description"))
+    of = _read(feeds, key, xml)
+    texts = {"rss": (F.col("r.channel.title"), F.col("r.channel.description")), "feed": (F.col("r.title"), F.col("r.subtitle")), "sitemapindex": (F.lit("Sitemap Index"), F.lit("")), "urlset": (F.lit("Sitemap"), F.lit(""))}
+    out = None
+    for name, (title, text) in texts.items():
+        found = of[name].select(key, "kind", F.coalesce(title, F.lit("")).alias("title"), F.coalesce(text, F.lit("")).alias("description"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def as_html(rows: DataFrame, heads: DataFrame, key: str) -> DataFrame:

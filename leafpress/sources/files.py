@@ -5,8 +5,10 @@ from __future__ import annotations
 import codecs
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.urls import content_type
 
@@ -30,11 +32,13 @@ def decode(body: bytes | None, declared: str | None = None) -> str | None:
         return body.decode("utf-8", "replace")
 
 
-@F.pandas_udf("string")
-def decoded(body, declared):
-    import pandas as pd
+def decoded(body: Column, declared: Column) -> Column:
+    """Text of bytes by decode()."""
 
-    return pd.Series([decode(b, d) for b, d in zip(body, declared, strict=True)])
+    def run(bodies: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([decode(x, y) for x, y in zip(bodies, names, strict=True)])
+
+    return F.pandas_udf(run, T.StringType())(body, declared)
 
 
 def charset(header: Column) -> Column:

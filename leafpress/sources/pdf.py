@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _loose_end = re.compile(r"(\s+|-)$")
 
@@ -64,17 +65,20 @@ def written(rows: list[tuple[str, str, bool]]) -> str:
 
 
 def digest(runs: DataFrame, doc: str = "doc_id", page: str = "page", pos: str = "pos") -> DataFrame:
-    """(doc, content, text): one document at a time, as its runs depend on each other."""
-
-    def of(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([page, pos])
-        fresh, rows = True, []
-        for s, mode, eol in zip(frame["str"].fillna(""), frame["mode"], frame["has_eol"].fillna(False), strict=True):
-            rows.append((s, mode, fresh))
-            fresh = bool(eol) and not s
-        text = "".join(s + ("\n" if e else "") for s, e in zip(frame["str"].fillna(""), frame["has_eol"].fillna(False), strict=True))
-        return pd.DataFrame({doc: [frame[doc].iloc[0]], "content": [written(rows)], "text": [text]})
-
-    marked = modes(runs, doc, page).select(doc, page, pos, "str", "mode", "has_eol")
-    kind = marked.schema[doc].dataType.simpleString()
-    return marked.groupBy(doc).applyInPandas(of, f"{doc} {kind}, content string, text string")
+    """(doc, content, text): a document's runs are gathered in order and written at once, as they depend on each other."""
+    run = F.struct(page, pos, F.coalesce("str", F.lit("")).alias("str"), "mode", F.coalesce("has_eol", F.lit(False)).alias("eol"))
+    gathered = modes(runs, doc, page).groupBy(doc).agg(F.array_sort(F.collect_list(run)).alias("runs"))
+    text = F.array_join(F.transform("runs", lambda r: F.concat(r["str"], F.when(r["eol"], "\n").otherwise(""))), "")
+
+    def write(batches: pd.Series) -> pd.Series:
+        return batches.map(_ordered)
+
+    return gathered.select(doc, F.pandas_udf(write, T.StringType())("runs").alias("content"), text.alias("text"))
+
+
+def _ordered(runs: list) -> str:
+    fresh, rows = True, []
+    for r in runs:
+        rows.append((r["str"], r["mode"], fresh))
+        fresh = bool(r["eol"]) and not r["str"]
+    return written(rows)

@@ -6,8 +6,10 @@ import base64
 from collections.abc import Callable
 from urllib.parse import parse_qs, unquote, urlsplit
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..html.dom import Node, parse, select
 
@@ -84,11 +86,11 @@ def hits(pages: DataFrame, key: str, html: str = "html", kind: str = "general")
     """(key, pos, link, title, ...) of the hits of result pages."""
     read = KINDS[kind]
 
-    @F.pandas_udf(HIT)
-    def extract(x):
-        return x.map(lambda h: read(h) if h is not None else [])
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda h: read(h) if h is not None else [])
 
-    return pages.select(key, F.posexplode(extract(F.col(html))).alias("pos", "h")).select(key, "pos", "h.*")
+    kind_of = T.StructType.fromDDL(f"h {HIT}")["h"].dataType
+    return pages.select(key, F.posexplode(F.pandas_udf(run, kind_of)(html)).alias("pos", "h")).select(key, "pos", "h.*")
 
 
 def image_hits(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
