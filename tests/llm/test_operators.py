@@ -1,0 +1,412 @@
+"""Operators against brute force, and on odd rows and empty tables."""
+
+import hashlib
+import random
+import struct
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from leafpress.llm import bpe, chat, chunks, lines, media, mixing, queries, records, simhash, suffixes, toxicity
+from leafpress.llm.components import components
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_odd_and_empty_tables(spark, tables, name):
+    rows = queries.QUERIES[name](spark, tables["odd"]).count()
+    assert rows == (4 if name.startswith("op6") else 9)
+    assert queries.QUERIES[name](spark, tables["empty"]).count() == (1 if name.startswith("op6") else 0)
+
+
+def test_pipeline(spark, sf, tables):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mix", "bpe"]
+    whole = entry.queries()["pipeline"](spark, sf)
+    assert whole.columns == ["doc_id", "source", "n_tokens", "ids", "decoded"] and whole.count() > 100
+    assert corpus_pipeline.run(spark, tables["empty"]).count() == 0
+    assert corpus_pipeline.run(spark, tables["odd"]).count() > 0
+
+
+# 1
+
+
+def test_mix(spark, odd, empty):
+    sizes = {"a": 1000, "b": 100, "c": 500, None: 400}
+    rows = [(i, " ".join(["w"] * 10), s) for s, n in sizes.items() for i in range(n // 10)]
+    mixed = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {r.source: (r.t, r.taken) for r in mixed.groupBy("source").agg(F.first("mix_target").alias("t"), F.sum("mix_taken").alias("taken")).collect()}
+    # Weights 5, 2, 1, 5 of 2000 words; b and null are full at three times their size, the excess goes on by weight.
+    caps = {"b": 300.0}
+    left = 2000 - 300
+    want = {"a": left * 5 / 11, "c": left * 1 / 11, None: left * 5 / 11} | caps
+    assert {k: round(v[0], 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()}
+    assert all(v[1] == int(v[0]) for v in got.values())
+    assert mixed.filter("mix_taken > 3 * mix_size").count() == 0
+    drawn = mixing.draw(mixed)
+    words = {r.source: r.n for r in drawn.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("w"))).alias("n")).collect()}
+    assert words == {k: int(v) for k, v in want.items()}
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mix_sources(mixed.select("doc_id", "text", "source")).select(mixed.columns).collect()))
+    kept = mixing.mix_sources(odd)
+    assert set(odd.columns) <= set(kept.columns) and kept.count() == 9 and mixing.mix_sources(empty).count() == 0
+
+
+# 2
+
+
+def test_media(spark, odd, docs):
+    for n in (192, 192 * 64, 192 * 257 * 3):
+        raw = random.Random(n).randbytes(n)
+        stored = media.wrap(raw)
+        (t,) = media.tracks(stored)
+        assert media.payload(stored, t) == raw and (t["codec"], t["timescale"], t["duration"]) == ("raw ", 8000, n)
+        assert [k for k in t["keys"]] == list(range(0, n // 192, 64)) and all(stored[t["offsets"][k] :][: t["sizes"][k]] == raw[k * 192 : (k + 1) * 192] for k in t["keys"])
+    wide = stored + struct.pack(">I4sQ", 1, b"free", 20) + b"abcd" + struct.pack(">I4s", 0, b"free") + b"to the end"
+    assert media.tracks(wide)[0]["codec"] == "raw "
+    bad = [b"", b"abc", stored[:200], b"\0\0\0\x04moov", stored[:-50], stored.replace(b"stsz", b"xxxx"), media.box(b"moof")]
+    table = spark.createDataFrame([(i, b) for i, b in enumerate([*bad, None, stored])], "i int, media binary")
+    got = {r.i: r for r in media.probe(table).collect()}
+    assert got[8].media_error is None and got[8].media_tracks[0].codec == "raw " and got[0].media_tracks == [] and got[6].media_error == "fragmented" and got[7].media_error == "null"
+    assert all(got[i].media_error for i in (1, 2, 3))
+    assert media.with_media(odd).columns == [*[c for c in odd.columns if c != "media"], "media"]
+
+
+def test_media_query(spark, sf, docs):
+    got = {r.doc_id: r for r in media.op2_media_columns(spark, sf).collect()}
+    for i, text in zip(docs.doc_id, docs.text, strict=True):
+        raw = text.encode()
+        padded = raw.ljust(max(1, -(-len(raw) // 192)) * 192, b" ")
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]), hashlib.sha256(media.wrap(padded)).hexdigest())
+
+
+# 3
+
+
+def brute_spans(rows):
+    seen, out = set(), {}
+    for i in sorted({r[0] for r in rows}):
+        new = set()
+        for _, data in [r for r in rows if r[0] == i]:
+            covered = bytearray(len(data))
+            for k in range(len(data) - 49):
+                w = data[k : k + 50]
+                if w in seen:
+                    covered[k : k + 50] = b"\1" * 50
+                new.add(w)
+            out[i] = (len(data), sum(covered), sum(1 for k in range(len(data)) if covered[k] and not (k and covered[k - 1])), hashlib.sha256(bytes(x for x, c in zip(data, covered, strict=True) if not c)).hexdigest())
+        seen |= new
+    return out
+
+
+def test_suffix_order():
+    r = random.Random(5)
+    for _ in range(600):
+        s = [r.randint(0, r.choice([1, 2, 4])) for _ in range(r.randint(1, 50))]
+        assert suffixes.suffix_order(s) == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_anchors():
+    r = random.Random(6)
+    for _ in range(60):
+        data = bytes(r.choice(b"ab " if r.random() < 0.5 else b"abcdefgh ") for _ in range(r.randint(0, 300)))
+        if len(data) < 50:
+            assert len(suffixes.anchors(data)[0]) == 0
+            continue
+        h, least = suffixes.minima(data)
+        want = [min(range(w, w + 26), key=lambda p: (h[p], p)) for w in range(len(data) - 49)]
+        hashes, place, first, last = suffixes.anchors(data)
+        assert [p for p, f, l in zip(place, first, last, strict=True) for _ in range(l - f + 1)] == want
+        assert sorted(set(hashes.tolist())) == suffixes.anchor_hashes(data).tolist()
+
+
+def test_suffix_query(spark, sf, docs):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.op3_suffix_dedup(spark, sf).collect()}
+    assert got == brute_spans([(i, t.encode()) for i, t in zip(docs.doc_id, docs.text, strict=True)])
+
+
+def test_crowded_anchor(monkeypatch):
+    """Snippets beyond the bound are compared by digest, with the same result."""
+    r = random.Random(7)
+    core = "".join(r.choice("abcdefgh") for _ in range(80))
+    texts = ["".join(r.choice("xyz") for _ in range(40)) + core[r.randint(0, 3) :] + "".join(r.choice("xy") for _ in range(30)) for _ in range(30)]
+    rows = []
+    for i, t in enumerate(texts):
+        b = t.encode()
+        for h, p, f, l in zip(*(x.tolist() for x in suffixes.anchors(b)), strict=True):
+            rows.append((h - (1 << 64) if h >> 63 else h, p - f, b[f:p] + b[p + 25 : l + 50], i, i, [f]))
+    rows.sort()
+    import pyarrow as pa
+
+    def covered():
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["hash", "before", "snippet", "did", "t1", "at"])
+        made = [x for b in suffixes._runs(iter([batch])) for x in zip(*(b.column(c).to_pylist() for c in ("t1", "did", "first", "last", "crowd")), strict=True)]
+        least = {}
+        for _, did, _, _, c in made:
+            least[c] = min(did, least.get(c, did))
+        out = {}
+        for t, did, first, last, c in made:
+            if c is None or did > least[c]:
+                out.setdefault(t, set()).update(range(first, last + 1))
+        return out
+
+    plain = covered()
+    monkeypatch.setattr(suffixes, "CROWD", 3)
+    assert covered() == plain
+    want = brute_spans([(i, t.encode()) for i, t in enumerate(texts)])
+    assert {i: len(plain.get(i, ())) for i in want} == {i: v[1] for i, v in want.items()}
+
+
+# 4, 5
+
+
+TRICKY = ["", "  ", "a<|endoftext|>B<|startoftext|>", "ΑΣ ΟΔΟΣ İI ﬁ", "x" * 3000, "ab1" * 700, "it's we'LL 'S 12½²", "a b\x1cc\x85d\xa0e", "é é \U0001f389‍", "\x00�﻿", "ʰª ñ"]
+
+
+def test_bpe(spark, sf, docs):
+    path = bpe.default_path()
+    library, own = Tokenizer.from_file(path), bpe.Bpe(path)
+    r = random.Random(8)
+    texts = [*TRICKY, *docs.text[:60], *("".join(r.choice("abc ABÀß'sSdt1²一\n\t|<>-…é́🎉") for _ in range(r.randint(0, 60))) for _ in range(500))]
+    for t in texts:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert own.encode(t) == ids
+        assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    # Long and short merging agree, and no merge spans a forced cut.
+    symbols = list("thethequickbrownfoxthe") + ["e</w>"]
+    assert own._merge(list(symbols)) == own._merge_short(list(symbols))
+    assert all((own._split(a)[-1], own._split(b)[0]) in own.joined for a, b in own.rank)
+    got = {r.doc_id: r for r in bpe.op4_bpe_roundtrip(spark, sf).collect()}
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
+def test_records(spark, sf, docs):
+    assert records.crc32c([b"123456789"])[0] == 0xE3069283
+
+    def slow(data):
+        c = 0xFFFFFFFF
+        for x in data:
+            c ^= x
+            for _ in range(8):
+                c = c >> 1 ^ (records.POLYNOMIAL if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    parts = [random.Random(n).randbytes(n) for n in (4, 5, 255, 256, 257, 700, 2000)]
+    assert records.crc32c(parts).tolist() == [slow(p) for p in parts]
+    data = b"\n".join(records.frame(parts)) + b"\n"
+    assert [p for _, p in records.unframe(data)] == parts
+    for broken in (data[:-3], data[:20] + bytes([data[20] ^ 1]) + data[21:]):
+        with pytest.raises(ValueError):
+            records.unframe(broken)
+    library = Tokenizer.from_file(records.default_path())
+    pieces = records.Pieces(records.default_path())
+    for t, b in zip(TRICKY, pieces.encode(TRICKY), strict=True):
+        assert np.frombuffer(b, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in records.op5_token_records(spark, sf).collect()}
+    start, want = 0, {}
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        want[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert got == want
+
+
+def test_record_index(spark, docs, tmp_path):
+    top = str(tmp_path / "r")
+    records.write_records(spark.createDataFrame(docs[["doc_id", "text"]][:50]), top, records.default_path())
+    for r in spark.read.parquet(f"{top}/index").limit(7).collect():
+        data = open(f"{top}/records/{r.file}", "rb").read()[r.offset : r.offset + r.length]
+        ((_, payload),) = records.unframe(data)
+        assert struct.unpack_from("<Bq", payload) == (1, r.id)
+    assert [r.id for r in records.read_records(spark, top).orderBy("shard", "place").collect()] == docs.doc_id[:50].tolist()
+
+
+# 6
+
+
+def test_chat(spark, sf, tables):
+    r = random.Random(3)
+    rows = [(c, t, r.choice(["system", "user", "assistant", "as\nsi\\st<|"]), r.choice(["", "<|im_end|>\n<|im_start|>", "<\\|im", "a b " * r.randint(0, 30), "w " * r.choice([1, 700]), "\\n<\\\\|x\n\nfoo", None])) for c in range(8) for t in range(r.choice([1, 3, 60, 300]))]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = chat.read_turns(chat.format_chats(table, room=64, history=20)).orderBy("conv_id", "window").collect()
+    for c in {r[0] for r in rows}:
+        mine = [w for w in windows if w.conv_id == c]
+        want = [(a, x or "") for k, _, a, x in rows if k == c]
+        assert [tuple(t) for w in mine for t in w.turns] == want
+        assert [x for w in mine for x in w.targets] == [x for a, x in want if a == "assistant"]
+        assert [w.window for w in mine] == list(range(len(mine)))
+        first = next((i for i, (a, _) in enumerate(want) if a == "system"), None)
+        at = 0
+        for w in mine:
+            own = w.n_turns - w.n_context
+            if first is not None and first < at:
+                assert w.n_context >= 1 and "<|im_start|>system\n" in w.text
+            tokens = [max(1, len((x or "").split())) for _, x in want[at : at + own]]
+            assert len(tokens) == 1 or sum(tokens) <= 64
+            at += own
+    odd = {r.conv_id: r for r in chat.op6_chat_windows(spark, tables["odd"]).collect()}
+    assert odd[1].n_turns == 3 and odd[None].loss_chars == 14 and odd[-1].loss_chars == 34 and odd[2].loss_chars == 1800
+
+
+# 7
+
+
+def brute_segments(scores):
+    """Every maximal scoring segment by the definition, for small inputs: found by splitting around the best one."""
+    best = max(((sum(scores[i:j]), i - j, i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0, 0, 0, 0))
+    if best[0] <= 0:
+        return []
+    # The shortest segment of the best sum, the first of these.
+    top, _, i, j = max(((s, l, -i, j) for s, l, i, j in ((sum(scores[i:j]), i - j, i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))), key=lambda x: (x[0], x[1], x[2]))
+    i = -i
+    return [*brute_segments(scores[:i]), (i, j - 1, top), *((a + j, b + j, s) for a, b, s in brute_segments(scores[j:]))]
+
+
+def test_segments():
+    r = random.Random(9)
+    for _ in range(300):
+        n = r.randint(0, 14)
+        hits = [(i, float(r.choice([1, 2, 4]))) for i in range(n) if r.random() < 0.4]
+        scores = [dict(hits).get(i, -0.75) for i in range(n)]
+        got = toxicity.segments(hits, 0.75)
+        assert sorted((s, a, b) for a, b, s in got) == sorted((s, a, b) for a, b, s in brute_segments(scores))
+
+
+def test_toxicity(spark, odd, empty):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [r for r in toxicity.op7_toxic_segments(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == r.held_out and (r.score >= 0.5) == bool(r.predicted) for r in got)
+    right = sum(r.predicted == labels[r.doc_id] for r in got)
+    assert right / len(got) > 0.9
+    model = toxicity.Model({"bad": 4.0, "bad-": 4.0}, 1.5, 0.001, 2.0, -3.0)
+    one = toxicity.with_toxicity(odd, model)
+    assert one.count() == 9 and set(odd.columns) <= set(one.columns) and toxicity.with_toxicity(empty, model).count() == 0
+    hit = toxicity.with_toxicity(spark.createDataFrame([("so bad bad bad end",), ("fine",)], "text string"), model).collect()
+    assert hit[0].toxic_score > 0.5 > hit[1].toxic_score and [(p.first, p.last) for p in hit[0].toxic_passages] == [(1, 3)]
+
+
+# 8
+
+
+def test_chunks(spark, sf, docs):
+    texts = [t.encode() for t in docs.text[:40]] + [b"", b"x" * 1000, b"ab"]
+    together, alone = chunks.cuts(texts), [chunks.cuts([t])[0] if t else [] for t in texts]
+    assert together == alone
+    for t, ends in zip(texts, together, strict=True):
+        assert (ends[-1] if ends else 0) == len(t) and all(b - a <= chunks.LARGEST for a, b in zip([0, *ends], ends, strict=False)) and all(b - a >= chunks.LEAST for a, b in zip([0, *ends], ends[:-1], strict=False))
+    a, b = chunks.fingerprints([texts[0], b"some new words before it all. " + texts[0]])
+    assert chunks.likeness(a, b) > 0.9 and chunks.likeness(a, a) == 1 and chunks.likeness({}, {}) == 1 and chunks.likeness(a, {}) == 0
+    assert chunks.read(chunks.written(a)) == a
+    got = {r.doc_id: r for r in chunks.op8_chunk_fingerprints(spark, sf).collect()}
+    down = docs.sort_values("doc_id", ascending=False)
+    ids, own = down.doc_id.tolist(), down.text.tolist()
+    for k, (i, t) in enumerate(zip(ids, own, strict=True)):
+        follower = own[(k + 1) % len(own)]
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + follower[:cut]
+        p, q, f = (chunks.fingerprints([x.encode()])[0] for x in (t, edited, follower))
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), chunks.written(p), chunks.written(q))
+        assert abs(r.near_edited - chunks.likeness(p, q)) < 1e-12 and abs(r.near_next - chunks.likeness(p, f)) < 1e-12
+
+
+# 9
+
+
+def joined(values, pairs):
+    up = {v: v for v in values}
+
+    def top(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {v: top(v) for v in values}
+
+
+def test_simhash_links(spark):
+    r = random.Random(1)
+    found = set()
+    for _ in range(5):
+        base = r.getrandbits(64)
+        for _ in range(60):
+            x = base
+            for _ in range(r.randint(0, 5)):
+                x ^= 1 << r.randrange(64)
+            found.add(x - (1 << 64) if x >> 63 else x)
+    near = [(a, b) for a in found for b in found if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2]
+    table = spark.createDataFrame([(x,) for x in found], "fp long")
+    for crowd in (1, 4, 64):
+        got = [(x.a, x.b) for x in simhash.links(table, crowd).collect()]
+        assert set(got) <= set(near) and joined(found, got) == joined(found, near)
+
+
+def test_simhash_query(spark, sf, docs):
+    def print_of(t):
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in t).translate({9: 32, 10: 32, 11: 32, 12: 32, 13: 32}).split(" ")
+        words = [w for w in words if w]
+        grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    prints = [print_of(t) for t in docs.text]
+    by = joined(range(len(prints)), [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2])
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op9_simhash_groups(spark, sf).collect()}
+    assert got == {docs.doc_id[i]: (f"{p:016x}", docs.doc_id[by[i]]) for i, p in enumerate(prints)}
+
+
+def test_keep_one(spark, odd):
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+    # 1, 1 and 2 are one text; 3, 4 and the null text without id have the fingerprint zero.
+    assert ids == [(False, 1), (False, 3), (False, 5), (False, 6), (True, 0)]
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+# 10
+
+
+def test_lines(spark, odd):
+    texts = ["alpha beta gamma", "alpha beta gamma\nshort\n\n  alpha betta gamma \nalpha betta gammma", "shorty\nshort", "x\ny\nzz", "zz\nz\n\n", "k" * 5000 + "q" + "m" * 3000, "k" * 5000 + "m" * 3000 + "\nk" * 2]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    earlier, want = [], {}
+
+    def near(a, b):
+        if a == b:
+            return True
+        if abs(len(a) - len(b)) > 1:
+            return False
+        p = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        return a[p + 1 :] == b[p + 1 :] or a[p:] == b[p + 1 :] or a[p + 1 :] == b[p:]
+
+    for i, t in enumerate(texts):
+        keep = []
+        for line in t.split("\n"):
+            bare = line.strip(" \t\n\v\f\r")
+            if not bare or not any(near(bare, e) for e in earlier):
+                keep.append(line)
+            if bare:
+                earlier.append(bare)
+        want[i] = "\n".join(keep)
+    got = {r.doc_id: r.text for r in lines.drop_repeated_lines(table).collect()}
+    assert got == want
+    done = lines.drop_repeated_lines(odd)
+    assert set(odd.columns) <= set(done.columns) and done.count() == 9
+    by = {(r.doc_id, r.source): (r.text, r.lines_total, r.lines_kept) for r in done.collect()}
+    assert by[None, None] == ("no id here", 3, 1) and by[2, "b"] == ("", 1, 0) and by[4, None] == (None, 0, 0) and by[3, "b"] == ("", 1, 1)
