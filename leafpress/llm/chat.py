@@ -109,3 +109,30 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = of.groupBy("conv_id").agg(F.sum("n").cast("long").alias("n_turns"), F.array_sort(F.collect_list(F.struct("window", "said", "target"))).alias("all"), F.sum("chars").cast("long").alias("formatted_chars"))
     text = lambda c: F.array_join(F.transform("all", lambda x: x[c]), "")
     return joined.select("conv_id", "n_turns", F.sha2(text("said"), 256).alias("turns_sha256"), F.char_length(text("target")).cast("long").alias("loss_chars"), F.sha2(text("target"), 256).alias("loss_sha256"), "formatted_chars")
+
+
+OP6_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(i, r)),
+t AS (
+  SELECT *, greatest(1, len(regexp_extract_all(text, '\S+'))) AS tok, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
+    24 + length(regexp_replace(replace(replace(role, '\', '\b'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS chars
+  FROM c),
+e AS (
+  SELECT *, sum(tok) OVER w AS fin, 2 * sum(CAST(tok > 256 AS INTEGER)) OVER w - CAST(tok > 256 AS INTEGER) AS cut FROM t
+  WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
+s AS (SELECT *, (fin - 1) // 256 AS part FROM e),
+spans AS (SELECT conv_id, part, cut, min(fin - tok) AS start, min(place) AS first FROM s GROUP BY ALL),
+sys AS (SELECT conv_id, min(place) AS place FROM s WHERE role = 'system' GROUP BY conv_id),
+held AS (
+  SELECT conv_id, part, cut, place, chars FROM s
+  UNION SELECT p.conv_id, p.part, p.cut, s.place, s.chars FROM spans p JOIN s ON s.conv_id = p.conv_id AND s.tok <= 128 AND s.fin <= p.start AND p.start - (s.fin - s.tok) <= 128
+  UNION SELECT p.conv_id, p.part, p.cut, s.place, s.chars FROM spans p JOIN sys y ON p.conv_id = y.conv_id JOIN s ON s.conv_id = y.conv_id AND s.place = y.place WHERE s.place < p.first),
+f AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM held GROUP BY conv_id),
+d AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '') AS loss
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM d JOIN f USING (conv_id)
+"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe_roundtrip
-from .chat import op6_chat_windows
+from .chat import OP6_SQL, op6_chat_windows
 from .chunks import op8_chunk_fingerprints
 from .lines import OP10_SQL, op10_line_dedup
 from .media import op2_media_columns
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES = {"op1_source_mix": OP1_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES = {"op1_source_mix": OP1_SQL, "op6_chat_windows": OP6_SQL, "op10_line_dedup": OP10_SQL}
