@@ -65,7 +65,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = keyed.withColumns({"dk": F.coalesce(F.col("did").cast("string"), F.lit("")), "th": F.xxhash64("text")})
     rows = keyed.select("did", "th", F.posexplode(_lines(F.col("text"))).alias("no", "raw"))
     rows = rows.select(F.struct(F.isnull("did").alias("none"), "did", "th", "no").alias("pos"), F.btrim("raw", F.lit(_BLANK)).alias("line")).filter("line != ''").withColumn("m", F.char_length("line"))
-    rows = table(rows.select("pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), _views(F.col("line"), F.col("m")).alias("views")), "lines")
+    rows = table(rows.select("pos", "m", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), _views(F.col("line"), F.col("m")).alias("views")), "lines")
 
     near = table(_near(rows, keyed.select("dk", "th", "text")), "near")
     release(docs.sparkSession)
@@ -85,11 +85,14 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _near(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(h1, h2) of the lines that have an earlier line at one edit."""
-    lines = rows.groupBy("h1", "h2").agg(F.min(F.struct("pos", "views")).alias("least"))
-    views = lines.select("h1", "h2", F.explode("least.views").alias("v")).select("h1", "h2", "v.*")
-    # Lines with equal text are one row here, so a key has as many rows as different lines agree on it.
-    shared = views.withColumn("lines", F.count("*").over(Window.partitionBy("rest"))).filter("lines > 1")
-    wanted = shared.groupBy("h1", "h2").agg(F.collect_list(F.struct("n", "j", "rest")).alias("wanted"))
+    lines = rows.groupBy("h1", "h2").agg(F.min(F.struct("pos", "m", "views")).alias("least"))
+    views = lines.select("h1", "h2", "least.m", F.explode("least.views").alias("v")).select("h1", "h2", (F.col("m") == F.col("v.n")).alias("own"), "v.*")
+    # Lines with equal text are one row here, so a key has as many rows as different lines agree on it: those of n code points
+    # can be a replacement apart, and one insertion from those of n + 1.
+    of_key = Window.partitionBy("rest")
+    own, longer = F.sum(F.col("own").cast("int")).over(of_key), F.sum((~F.col("own")).cast("int")).over(of_key)
+    shared = views.withColumns({"r": own > 1, "d": (own > 0) & (longer > 0)}).filter((F.col("own") & F.col("r")) | F.col("d"))
+    wanted = shared.groupBy("h1", "h2").agg(F.collect_list(F.struct("n", "j", "rest", "r", "d")).alias("wanted"))
     # The text comes from the document where the line starts first.
     at = wanted.join(lines.select("h1", "h2", F.col("least.pos").alias("first")), ["h1", "h2"])
     at = at.groupBy(F.coalesce(F.col("first.did").cast("string"), F.lit("")).alias("dk"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct(F.struct("first", "h1", "h2").alias("id"), "wanted")).alias("of_doc"))
@@ -99,16 +102,19 @@ def _near(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
     seen = found.select("id", "line", F.char_length("line").alias("m"), F.explode("wanted").alias("v")).select("id", "line", "m", "v.*")
     before, after = _bounds(F.col("n"), F.col("j"))
-    seen = seen.select("id", "m", "n", "rest", F.substring("line", before + 1, F.col("m") - before - after).alias("block"))
+    seen = seen.select("id", "m", "n", "rest", "r", "d", F.substring("line", before + 1, F.col("m") - before - after).alias("block"))
     size = F.char_length("block")
     without = lambda i: F.concat(F.substring("block", F.lit(1), i - 1), F.substring(F.col("block"), i + 1, size))
     places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
     kinds = {"r": F.transform(places, lambda i: F.xxhash64(F.lit("r"), F.col("rest"), i, without(i))), "d": F.transform(places, lambda i: F.xxhash64(F.lit("w"), F.col("rest"), without(i))), "w": F.array(F.xxhash64(F.lit("w"), F.col("rest"), F.col("block")))}
     tagged = lambda k: F.transform(kinds[k], lambda x: F.struct(F.lit(k).alias("kind"), x.alias("key")))
-    variants = seen.select("id", F.explode(F.when(F.col("m") == F.col("n"), F.concat(tagged("r"), tagged("w"))).otherwise(tagged("d"))).alias("k")).select("id", "k.*").distinct()
-    best = variants.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.col("id"))).alias(f"best_{k}") for k in "rwd"])
+    none = F.array().cast("array<struct<kind:string,key:bigint>>")
+    keys = F.when(F.col("m") == F.col("n"), F.concat(F.when(F.col("r"), tagged("r")).otherwise(none), F.when(F.col("d"), tagged("w")).otherwise(none))).otherwise(tagged("d"))
+    variants = seen.select("id", F.explode(keys).alias("k")).select("id", "k.*")
+    of_key = Window.partitionBy("key")
+    best = variants.withColumns({f"best_{k}": F.min(F.when(F.col("kind") == k, F.col("id"))).over(of_key) for k in "rwd"})
     partner = F.when(F.col("kind") == "r", F.col("best_r")).when(F.col("kind") == "d", F.col("best_w")).otherwise(F.col("best_d"))
-    pairs = variants.join(best, "key").select("id", partner.alias("other")).filter("other < id").distinct()
+    pairs = best.select("id", partner.alias("other")).filter("other < id").distinct()
     text = found.select("id", "line")
     checked = pairs.join(text, "id").join(text.select(F.col("id").alias("other"), F.col("line").alias("earlier")), "other").filter(F.levenshtein("line", "earlier", 1).between(0, 1))
     return checked.select("id.h1", "id.h2").distinct()

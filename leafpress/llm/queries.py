@@ -10,7 +10,7 @@ from .media import op2_media_columns
 from .mixing import OP1_SQL, op1_source_mix
 from .records import op5_token_records
 from .simhash import op9_simhash_groups
-from .suffixes import op3_suffix_dedup
+from .suffixes import OP3_SQL, op3_suffix_dedup
 from .toxicity import op7_toxic_segments
 
 QUERIES = {
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES = {"op1_source_mix": OP1_SQL, "op6_chat_windows": OP6_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES = {"op1_source_mix": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op6_chat_windows": OP6_SQL, "op10_line_dedup": OP10_SQL}

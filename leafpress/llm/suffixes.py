@@ -105,12 +105,9 @@ def suffix_order(s: list[int]) -> list[int]:
     return order
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hash, place, first and last start of the SPAN-byte strings that have it as their anchor, for each anchor of a text."""
+def minima(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the K-byte strings of a text of SPAN bytes or more, and the least in each of its SPAN-byte strings."""
     n, windows = len(data) - K + 1, SPAN - K + 1
-    if len(data) < SPAN:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
     power, mul, width, h, done = _SYMBOLS[np.frombuffer(data, np.uint8)], int(_MUL), 1, None, 0
     while True:
         if K & width:
@@ -123,12 +120,29 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         mul, width = mul * mul % (1 << 64), width * 2
     h = (h ^ h >> np.uint64(29)) * _MIX
     h ^= h >> np.uint64(32)
-    # Sliding minimum, then the leftmost place that has it: the places of the minimum never go back.
     least, step = h, 1
     while step * 2 <= windows:
         least, step = np.minimum(least[:-step], least[step:]), step * 2
     if step < windows:
         least = np.minimum(least[: n - windows + 1], least[windows - step :][: n - windows + 1])
+    return h, least
+
+
+def anchor_hashes(data: bytes) -> np.ndarray:
+    if len(data) < SPAN:
+        return np.zeros(0, np.uint64)
+    _, least = minima(data)
+    return np.unique(least[np.r_[True, least[1:] != least[:-1]]])
+
+
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hash, place, first and last start of the SPAN-byte strings that have it as their anchor, for each anchor of a text."""
+    if len(data) < SPAN:
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none, none
+    h, least = minima(data)
+    windows = SPAN - K + 1
+    # The leftmost place of each minimum; these never go back.
     starts = np.arange(len(least))
     place = np.full(len(least), -1, np.int64)
     hits = np.flatnonzero(h[: len(least)] == least)
@@ -206,7 +220,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(anchors((x.as_py() or "").encode())[0]) for x in batch.column("text")]
+            found = [anchor_hashes((x.as_py() or "").encode()) for x in batch.column("text")]
             counts = [len(f) for f in found]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.repeat(batch.column("t1").to_numpy(), counts))], names=["hash", "t1"])
 
@@ -214,7 +228,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of_hash = Window.partitionBy("hash")
     shared = pairs.withColumn("many", F.min("t1").over(of_hash) < F.max("t1").over(of_hash)).filter("many").groupBy("t1").agg(F.collect_set("hash").alias("hashes"))
     first = texts.groupBy("t1", "t2").agg(F.min("did").alias("did"))
-    sources = texts.select("did", "t1", "text").join(shared.join(first.drop("t2"), "t1"), ["t1", "did"])
+    wanted = table(shared.join(first.drop("t2"), "t1"), "anchors")
+    release(docs.sparkSession)
+    sources = texts.select("did", "t1", "text").join(wanted, ["t1", "did"])
 
     def snip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,11 +241,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 at = np.searchsorted(wanted, h)
                 keep = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == h)
                 did, t1 = did.as_py(), t1.as_py()
-                rows += [(a, did, t1, f, p - f, data[f:p] + data[p + K : l + SPAN]) for a, p, f, l in zip(h[keep].view(np.int64).tolist(), place[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True)]
+                # What a text repeats is one row with all its places.
+                places: dict[tuple[int, int, bytes], list[int]] = {}
+                for a, p, f, l in zip(h[keep].view(np.int64).tolist(), place[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
+                    places.setdefault((a, p - f, data[f:p] + data[p + K : l + SPAN]), []).append(f)
+                rows += [(*k, did, t1, at) for k, at in places.items()]
             columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["hash", "did", "t1", "at", "before", "snippet"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["hash", "before", "snippet", "did", "t1", "at"])
 
-    snippets = sources.mapInArrow(snip, "hash long, did long, t1 long, at int, before int, snippet binary")
+    snippets = sources.mapInArrow(snip, "hash long, before int, snippet binary, did long, t1 long, at array<int>")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = table(snippets.repartition(n, "hash").sortWithinPartitions("hash", "before", "snippet", "did").mapInArrow(_runs, "t1 long, did long, first long, last long, crowd binary"), "runs")
     release(docs.sparkSession)
@@ -260,7 +280,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def settle(upto: int) -> None:
         nonlocal size, begin
         for k, a, b in covered(snippets[:upto]) if upto > 1 else ():
-            out.extend((t, snippets[k][1], at + a, at + b + SPAN - 1, None) for t, at in owners[k])
+            out.extend((t, snippets[k][1], p + a, p + b + SPAN - 1, None) for t, p in owners[k])
         del snippets[:upto], owners[:upto]
         size = sum(len(s[2]) + 2 for s in snippets)
         begin = 0
@@ -269,7 +289,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = anchor.to_bytes(8, "little", signed=True)
         for w in range(len(text) + 1 - (SPAN - K)):
             digest = xxhash.xxh3_128_digest(head + bytes([before - w]) + text[w : w + SPAN - K])
-            out.extend((t, did, at + w, at + w + SPAN - 1, digest) for t, at in own)
+            out.extend((t, did, a + w, a + w + SPAN - 1, digest) for t, a in own)
 
     def given() -> pa.RecordBatch:
         columns = list(zip(*out, strict=True)) or [()] * 5
@@ -279,24 +299,29 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for h, did, t1, at, before, snippet in zip(*(batch.column(c).to_pylist() for c in ("hash", "did", "t1", "at", "before", "snippet")), strict=True):
             if h != key:
+                # A snippet without another at its anchor shares no string with any.
+                if len(snippets) - begin == 1:
+                    size -= len(snippets[-1][2]) + 2
+                    del snippets[-1], owners[-1]
                 if size >= BATCH:
                     settle(len(snippets))
                 key, crowded, begin, last = h, False, len(snippets), None
             if last is not None and last[2] == snippet and last[3] == before:
                 # Equal to a snippet of a smaller id: all its strings are covered.
                 if did > last[1]:
-                    out.append((t1, did, at, at + len(snippet) + K - 1, None))
+                    out += [(t1, did, a, a + len(snippet) + K - 1, None) for a in at]
                 elif crowded:
-                    strings(*last[:2], snippet, before, [(t1, at)])
+                    strings(*last[:2], snippet, before, [(t1, a) for a in at])
                 else:
-                    owners[-1].append((t1, at))
+                    owners[-1] += [(t1, a) for a in at]
                 continue
             last = (h, did, snippet, before)
+            own = [(t1, a) for a in at]
             if crowded:
-                strings(h, did, snippet, before, [(t1, at)])
+                strings(h, did, snippet, before, own)
                 continue
             snippets.append(last)
-            owners.append([(t1, at)])
+            owners.append(own)
             size += len(snippet) + 2
             if len(snippets) - begin > CROWD:
                 crowded = True
@@ -362,3 +387,19 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return found.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS k FROM d, unnest(range(0, n - 49)) AS t(i)),
+f AS (SELECT k, min(doc_id) AS least FROM w GROUP BY k),
+hit AS (SELECT w.doc_id, i, i - lag(i) OVER (PARTITION BY w.doc_id ORDER BY i) AS gap FROM w JOIN f USING (k) WHERE w.doc_id > least),
+run AS (SELECT doc_id, i, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM hit),
+span AS (SELECT doc_id, g, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, g),
+cut AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM span),
+kept AS (
+  SELECT c.doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest
+  FROM cut c JOIN d USING (doc_id) GROUP BY c.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
