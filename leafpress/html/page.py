@@ -224,7 +224,7 @@ def _inside(node: Node, tag: str) -> bool:
     return False
 
 
-def describe(html: str | None, url: str | None, options: Options, wanted: frozenset[str], frames: Mapping[str, str] | None = None, captions: Mapping[str, str] | None = None, rebase: str | None = None) -> dict[str, Any]:
+def describe(html: str | None, url: str | None, options: Options, wanted: frozenset[str], frames: Mapping[str, str] | None = None, captions: Mapping[str, str] | None = None, rebase: str | None = None, rules: Mapping[str, list] | None = None) -> dict[str, Any]:
     """The wanted fields of a page. url is the page's; rebase, if given, is what its links count from. An unexpected page gives
     its error and nothing else."""
     out: dict[str, Any] = dict.fromkeys(wanted)
@@ -248,19 +248,21 @@ def describe(html: str | None, url: str | None, options: Options, wanted: frozen
         for name in wanted & of.keys():
             out[name] = of[name]()
         if wanted & {"content", "link_list", "image_list", "degraded"}:
-            out |= {k: v for k, v in written(root, base, options, captions).items() if k in wanted}
+            out |= {k: v for k, v in written(root, base, options, captions, rules).items() if k in wanted}
     except Exception as e:  # noqa: BLE001  one bad page must not end the job
         out["error"] = f"{type(e).__name__}: {e}"[:500]
     return out
 
 
-def written(root: Node, base: str | None, options: Options, captions: Mapping[str, str] | None = None) -> dict[str, Any]:
+def written(root: Node, base: str | None, options: Options, captions: Mapping[str, str] | None = None, more: Mapping[str, list] | None = None) -> dict[str, Any]:
     count, depth = measure(root)
     if depth > MAX_DEPTH or count > MAX_ELEMENTS:
         return {"content": inner_text(root), "link_list": [], "image_list": [], "degraded": True}
     images = Images(options.retain_images, base, options.keep_img_data_url, {trim(object_url(k, base) if k.startswith("data:") else k): v for k, v in (captions or {}).items()})
     links: str | Citations = Citations(host_of(base)) if options.retain_links == "gpt-oss" else options.retain_links
     rules = page_rules(options.markdown, images, links, options.keep_img_data_url, base)
+    for tag, added in (more or {}).items():
+        rules[tag] = [*rules.get(tag, ()), *added]
     m = Markify(options.markdown, base, not options.no_gfm or options.no_gfm == "table", rules, frozenset({"table"}) if options.no_gfm == "table" else frozenset())
     text = trim(m.convert(next((c for c in root.children if c.tag == "html"), root)))
     if options.respond_with == "content" and poorly_transformed(text, root, bool(options.no_gfm)):

@@ -24,8 +24,9 @@ FIELDS = {
 }
 
 
-def parse_pages(pages: DataFrame, fields: Sequence[str], options: Options | None = None, html_col: str = "html", url_col: str = "url", frames_col: str | None = None, captions_col: str | None = None) -> DataFrame:
-    """pages with the fields, and without the HTML. frames_col: map of URL to HTML; captions_col: map of image URL to text."""
+def parse_pages(pages: DataFrame, fields: Sequence[str], options: Options | None = None, html_col: str = "html", url_col: str = "url", frames_col: str | None = None, captions_col: str | None = None, rules: dict[str, list] | None = None) -> DataFrame:
+    """pages with the fields, and without the HTML. frames_col: map of URL to HTML; captions_col: map of image URL to text. rules:
+    further markdown rules by tag, functions (text so far, node, converter) -> text."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     options = options or Options()
@@ -43,7 +44,7 @@ def parse_pages(pages: DataFrame, fields: Sequence[str], options: Options | None
         for batch in batches:
             extra = [dict(v) if (v := x.as_py()) else None for x in batch.column("__frames")] if frames_col else [None] * batch.num_rows
             texts = [dict(v) if (v := x.as_py()) else None for x in batch.column("__captions")] if captions_col else [None] * batch.num_rows
-            rows = [describe(h.as_py(), u.as_py(), options, wanted, f, c) for h, u, f, c in zip(batch.column("__html"), batch.column("__url"), extra, texts, strict=True)]
+            rows = [describe(h.as_py(), u.as_py(), options, wanted, f, c, rules=rules) for h, u, f, c in zip(batch.column("__html"), batch.column("__url"), extra, texts, strict=True)]
             made = [pa.array([_plain(r.get(n)) for r in rows], arrow.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays([*map(batch.column, rest), *made], names=[*rest, *names])
 

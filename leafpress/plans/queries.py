@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chat, markdown, text, urls
 from ..html.markify import Dialect
-from ..operators import cache, pages, policy, search
+from ..operators import cache, captures, pages, policy, search
 from ..options import Options
 from ..sources import feeds, pdf, serp, sse
 from ..streaming import state
@@ -549,3 +549,49 @@ c AS (SELECT *, count(*) OVER w AS n, sum(CAST(first AS INTEGER)) OVER w AS h FR
 SELECT event_id FROM c WHERE n <= 20 AND h <= 4""")
 def request_limits(spark, d):
     return policy.within_limits(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type", 20, 4).select("event_id")
+
+
+@query(r"""
+SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY o_custkey""")
+def final_hops(spark, d):
+    return captures.final_hops(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderpriority")
+
+
+@query(r"""
+SELECT o_custkey, lower(o_orderstatus) AS name, string_agg(o_orderpriority, ',' ORDER BY o_orderkey) AS parts FROM orders GROUP BY 1, 2""")
+def merged_headers(spark, d):
+    rows = captures.merged_headers(table(spark, d, "orders"), "o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    return rows.select("o_custkey", "name", F.array_join("values", ",").alias("parts"))
+
+
+@query(r"""
+WITH r AS (SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host, regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', '') AS path FROM pages)
+SELECT page_id, CASE WHEN scheme = 'https' THEN 'new' ELSE 'old' END AS value FROM r WHERE host LIKE '%.example.com' AND starts_with(path, '/')""")
+def request_cookies(spark, d):
+    u = F.col("url")
+    asked = table(spark, d, "pages").select("page_id", urls.scheme(u).alias("scheme"), urls.host(u).alias("host"), urls.path(u).alias("path"), F.lit(5).alias("ts"))
+    jar = spark.range(3).select(F.lit(".Example.com").alias("domain"), F.lit("/").alias("path"), F.lit("sid").alias("name"), F.element_at(F.array(*map(F.lit, ("old", "new", "gone"))), (F.col("id") + 1).cast("int")).alias("value"), (F.col("id") == 1).alias("secure"), F.when(F.col("id") == 2, 4).alias("expires"), F.col("id").alias("seq"))
+    return captures.applicable_cookies(asked, jar, "page_id").select("page_id", "value")
+
+
+@query(r"""
+SELECT event_id, json_extract_string(props, '$.k') AS found FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) != 0 AND event_type = 'click'""")
+def json_path_filter(spark, d):
+    return captures.at_path(table(spark, d, "events"), "props", "$.k", F.col("event_type") == "click").select("event_id", "found")
+
+
+@query(r"""
+SELECT d.doc_id, coalesce(nullif(d.lang, 'fr'), d.source) AS lang, coalesce(l.quality = 1, FALSE) OR d.n_chars > 2000 AS ok FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def hits_filled(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.lit(1).alias("pos"), F.nullif("lang", F.lit("fr")).alias("lang"), "n_chars")
+    hits = table(spark, d, "documents").select("doc_id", F.lit(1).alias("pos"), F.col("source").alias("lang"))
+    filled = captures.filled_by_position(docs, hits, "doc_id", "pos", ["lang"]).join(table(spark, d, "labels"), "doc_id", "left")
+    ok = captures.qualified(F.lit("t"), F.when(F.col("quality") == 1, "c"), F.when(F.col("n_chars") > 2000, "html"))
+    return filled.select("doc_id", "lang", ok.alias("ok"))
+
+
+@query()
+def page_own_rule(spark, d):
+    """Paragraphs with a rule of their own after the built-in one."""
+    o = Options(respond_with="markdown", retain_links="none")
+    return pages.parse_pages(table(spark, d, "pages"), ["content"], o, rules={"p": [lambda text, node, m: text.upper()]}).select("page_id", "content")
