@@ -177,13 +177,21 @@ _SEGMENTS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("s
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Slope and base of the ridge-penalised logistic curve, by Newton's method."""
-    a, features = np.zeros(2), np.stack([x, np.ones_like(x)], 1)
-    penalty = np.diag([0.1, 0.001])
-    for _ in range(50):
+    """Slope and base of the ridge-penalised logistic curve: Newton steps, each halved until the penalised likelihood grows."""
+    features, penalty = np.stack([x, np.ones_like(x)], 1), np.diag([0.1, 0.001])
+    share = min(max((w * y).sum() / w.sum(), 1e-6), 1 - 1e-6)
+    a = np.array([0.0, math.log(share / (1 - share))])
+
+    def gain(a: np.ndarray) -> float:
+        z = features @ a
+        return float((w * (y * z - np.logaddexp(0, z))).sum() - a @ penalty @ a / 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(features @ a, -30, 30)))
         step = np.linalg.solve(features.T @ (features * (w * p * (1 - p))[:, None]) + penalty, features.T @ (w * (y - p)) - penalty @ a)
-        a = a + np.clip(step, -2, 2)
+        while np.abs(step).max() > 1e-10 and gain(a + step) < gain(a):
+            step = step / 2
+        a = a + step
         if np.abs(step).max() < 1e-9:
             break
     return float(a[0]), float(a[1])

@@ -410,3 +410,13 @@ def test_lines(spark, odd):
     assert set(odd.columns) <= set(done.columns) and done.count() == 9
     by = {(r.doc_id, r.source): (r.text, r.lines_total, r.lines_kept) for r in done.collect()}
     assert by[None, None] == ("no id here", 3, 1) and by[2, "b"] == ("", 1, 0) and by[4, None] == (None, 0, 0) and by[3, "b"] == ("", 1, 1)
+
+
+def test_logistic():
+    """The fit finds the best curve, also where the classes all but separate."""
+    for x, y, w in (([0, 1, 2, 3, 4], [0, 0, 1, 1, 1], [16000, 40, 30, 400, 1500]), ([0, 0, 5, 5], [0, 1, 0, 1], [90, 10, 10, 90]), ([0, 5], [0, 1], [1e6, 1e5])):
+        x, y, w = (np.array(v, float) for v in (x, y, w))
+        slope, base = toxicity._logistic(x, y, w)
+        lost = lambda a, b: (w * (np.logaddexp(0, a * x + b) - y * (a * x + b))).sum() + 0.05 * a * a + 0.0005 * b * b
+        assert slope > 0 and all(lost(slope, base) <= lost(slope + d, base + e) + 1e-6 for d in (-0.01, 0, 0.01) for e in (-0.01, 0, 0.01))
+        assert ((slope * x + base >= 0) == (x >= 2)).all()
