@@ -9,7 +9,7 @@ from typing import Any
 
 from .html.markify import Dialect
 
-FORMATS = ("content", "markdown", "html", "text", "pageshot", "screenshot", "vlm", "readerlm-v2", "frontmatter")
+FORMATS = ("content", "markdown", "html", "text", "pageshot", "screenshot", "vlm", "frontmatter")
 IMAGE_MODES, LINK_MODES = ("none", "all", "alt", "all_p", "alt_p"), ("none", "all", "text", "gpt-oss")
 ENGINES, TIMINGS = ("auto", "browser", "curl", "cf-browser-rendering"), ("html", "visible-content", "mutation-idle", "resource-idle", "media-idle", "network-idle")
 #: Texts that mean false.
@@ -185,7 +185,7 @@ class Options:
         form = given.get("respond_with") or ""
         if re.search(r"lm", form) and re.search(r"content|markdown", form):
             raise BadOption("a language model's format can't be asked for with content or markdown")
-        if given.get("engine") in ("vlm", "readerlm-v2"):
+        if "lm" in (given.get("engine") or ""):  # a language model as an engine is a format
             given["respond_with"], given["engine"] = given["engine"], "auto"
         if given.get("with_generated_alt"):
             given["retain_images"] = "all_p"

@@ -19,7 +19,7 @@ def test_forced():
     assert Options.of({"markdownChunking": "s2", "markdown": {"headingStyle": "setext"}}).markdown.heading_style == "atx"
 
 
-@pytest.mark.parametrize("body", [{"respondWith": "readerlm-v2,markdown"}, {"maxTokens": 10}, {"retainImages": "some"}, {"removeSelector": "*"}, {"targetSelector": ":root"}, {"engine": "ie"}])
+@pytest.mark.parametrize("body", [{"respondWith": "vlm,markdown"}, {"maxTokens": 10}, {"retainImages": "some"}, {"removeSelector": "*"}, {"targetSelector": ":root"}, {"engine": "ie"}])
 def test_refused(body):
     with pytest.raises(BadOption):
         Options.of(body)
