@@ -3,7 +3,7 @@
 Every SPAN-byte string holds an anchor: of its K-byte strings the one with the least hash, the leftmost of equals. Equal strings
 hold equal anchors at equal places, so equal strings of different documents meet at their anchor's hash. Anchors that only one
 text has are left out; an anchor that several texts have is sent on as a snippet: the bytes around it that the strings of this
-anchor cover, the anchor itself being one symbol. A task sorts the suffixes of its snippets in linear time: suffixes fall into
+anchor cover, the anchor itself being one symbol, cut to what another snippet shares on either side. A task sorts the suffixes of its snippets in linear time: suffixes fall into
 groups of equal Lyndon prefix, which are processed in descending order, each group passing its prefix on to the previous smaller
 suffixes its members point to; then, from the least suffix on, each emits those whose Lyndon prefix ends where it starts. No
 recursion, no renaming. Neighbours in that order that share SPAN bytes are equal strings; all but those of the smallest id are
@@ -268,28 +268,85 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("did"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common start of two short strings."""
+    n = min(len(a), len(b))
+    return n - -(-(int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length() // 8)
+
+
+def _shared_reach(sides: list[bytes]) -> list[int]:
+    """For each string the longest start that any other has too: that of a neighbour in sorted order."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    reach = [0] * len(sides)
+    for i, j in zip(order, order[1:], strict=False):
+        n = _common(sides[i], sides[j])
+        reach[i], reach[j] = max(reach[i], n), n
+    return reach
+
+
+class _Group:
+    """Different snippets of one anchor, with the places of the rows that have the smallest id of each."""
+
+    def __init__(self, anchor: int):
+        self.anchor = anchor
+        self.snippets: list[tuple[int, int, bytes, int]] = []
+        self.owners: list[list[tuple[int, int]]] = []
+
+    def trimmed(self, out: list) -> tuple[list, list]:
+        """Snippets cut to the bytes that another one shares on each side of the anchor: beyond these no string is shared, and
+        without SPAN of them none is. What is equal then is one snippet; the larger ids' part in it is covered."""
+        left = _shared_reach([s[2][: s[3]][::-1] for s in self.snippets])
+        right = _shared_reach([s[2][s[3] :] for s in self.snippets])
+        kept: dict[tuple[bytes, int], tuple[int, list[tuple[int, int]]]] = {}
+        for (_, did, text, before), own, l, r in zip(self.snippets, self.owners, left, right, strict=True):
+            if l + r < SPAN - K:
+                continue
+            key = text[before - l : before + r], l
+            own = [(t, at + before - l) for t, at in own]
+            had = kept.get(key)
+            if had is None or had[0] == did:
+                kept[key] = did, (had[1] + own if had else own)
+                continue
+            if had[0] > did:
+                kept[key], (did, own) = (did, own), had
+            out += [(t, did, at, at + l + r + K - 1, None) for t, at in own]
+        if len(kept) < 2:
+            return [], []
+        return [(self.anchor, did, text, before) for (text, before), (did, _) in kept.items()], [own for _, own in kept.values()]
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Covered byte ranges of texts. Rows come sorted by anchor and snippet, so that equal snippets are one, with its smallest
     id. An anchor with more than CROWD snippets isn't sorted: all strings of its snippets are given out with a digest as crowd, to
     be compared by it in any number of tasks."""
     snippets: list[tuple[int, int, bytes, int]] = []
-    owners: list[list[tuple[int, int]]] = []  # (t1, at) of the rows with the snippet's smallest id
+    owners: list[list[tuple[int, int]]] = []
     out: list[tuple[int, int, int, int, bytes | None]] = []
-    size, begin, key, crowded = 0, 0, None, False
-
-    def settle(upto: int) -> None:
-        nonlocal size, begin
-        for k, a, b in covered(snippets[:upto]) if upto > 1 else ():
-            out.extend((t, snippets[k][1], p + a, p + b + SPAN - 1, None) for t, p in owners[k])
-        del snippets[:upto], owners[:upto]
-        size = sum(len(s[2]) + 2 for s in snippets)
-        begin = 0
-
-    def strings(anchor: int, did: int, text: bytes, before: int, own: list[tuple[int, int]]) -> None:
-        head = anchor.to_bytes(8, "little", signed=True)
+    size, group, crowded, last = 0, _Group(0), False, None
+
+    def settle() -> None:
+        nonlocal size
+        for k, a, b in covered(snippets) if snippets else ():
+            out.extend((t, snippets[k][1], at + a, at + b + SPAN - 1, None) for t, at in owners[k])
+        snippets.clear()
+        owners.clear()
+        size = 0
+
+    def close() -> None:
+        nonlocal size
+        if len(group.snippets) > 1:
+            more, own = group.trimmed(out)
+            snippets.extend(more)
+            owners.extend(own)
+            size += sum(len(s[2]) + 2 for s in more)
+        if size >= BATCH:
+            settle()
+
+    def strings(did: int, text: bytes, before: int, own: list[tuple[int, int]]) -> None:
+        head = group.anchor.to_bytes(8, "little", signed=True)
         for w in range(len(text) + 1 - (SPAN - K)):
             digest = xxhash.xxh3_128_digest(head + bytes([before - w]) + text[w : w + SPAN - K])
-            out.extend((t, did, a + w, a + w + SPAN - 1, digest) for t, a in own)
+            out.extend((t, did, at + w, at + w + SPAN - 1, digest) for t, at in own)
 
     def given() -> pa.RecordBatch:
         columns = list(zip(*out, strict=True)) or [()] * 5
@@ -298,41 +355,36 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for h, did, t1, at, before, snippet in zip(*(batch.column(c).to_pylist() for c in ("hash", "did", "t1", "at", "before", "snippet")), strict=True):
-            if h != key:
-                # A snippet without another at its anchor shares no string with any.
-                if len(snippets) - begin == 1:
-                    size -= len(snippets[-1][2]) + 2
-                    del snippets[-1], owners[-1]
-                if size >= BATCH:
-                    settle(len(snippets))
-                key, crowded, begin, last = h, False, len(snippets), None
+            if h != group.anchor:
+                close()
+                group, crowded, last = _Group(h), False, None
+            own = [(t1, a) for a in at]
             if last is not None and last[2] == snippet and last[3] == before:
                 # Equal to a snippet of a smaller id: all its strings are covered.
                 if did > last[1]:
                     out += [(t1, did, a, a + len(snippet) + K - 1, None) for a in at]
                 elif crowded:
-                    strings(*last[:2], snippet, before, [(t1, a) for a in at])
+                    strings(did, snippet, before, own)
                 else:
-                    owners[-1] += [(t1, a) for a in at]
+                    group.owners[-1] += own
                 continue
             last = (h, did, snippet, before)
-            own = [(t1, a) for a in at]
             if crowded:
-                strings(h, did, snippet, before, own)
+                strings(did, snippet, before, own)
                 continue
-            snippets.append(last)
-            owners.append(own)
-            size += len(snippet) + 2
-            if len(snippets) - begin > CROWD:
+            group.snippets.append(last)
+            group.owners.append(own)
+            if len(group.snippets) > CROWD:
                 crowded = True
-                for held, own in zip(snippets[begin:], owners[begin:], strict=True):
-                    strings(*held, own)
-                del snippets[begin:], owners[begin:]
-                settle(len(snippets))
+                for (_, d, text, b), o in zip(group.snippets, group.owners, strict=True):
+                    strings(d, text, b, o)
+                group.snippets.clear()
+                group.owners.clear()
             if len(out) >= 50_000:
                 yield given()
         yield given()
-    settle(len(snippets))
+    close()
+    settle()
     yield given()
 
 
