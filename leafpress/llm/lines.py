@@ -96,6 +96,8 @@ def _near(rows: DataFrame, texts: DataFrame) -> DataFrame:
     # The text comes from the document where the line starts first.
     at = wanted.join(lines.select("h1", "h2", F.col("least.pos").alias("first")), ["h1", "h2"])
     at = at.groupBy(F.coalesce(F.col("first.did").cast("string"), F.lit("")).alias("dk"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct(F.struct("first", "h1", "h2").alias("id"), "wanted")).alias("of_doc"))
+    at = table(at, "wanted")
+    release(rows.sparkSession)
     found = at.join(texts, ["dk", "th"]).select(_lines(F.col("text")).alias("all"), F.explode("of_doc").alias("w"))
     found = table(found.select("w.id", "w.wanted", F.btrim(F.col("all")[F.col("w.id.first.no")], F.lit(_BLANK)).alias("line")), "candidates")
     release(rows.sparkSession)
