@@ -18,7 +18,7 @@ def turn(role: Column, text: Column, extra: Column | None = None) -> Column:
 
 def encode(turns: DataFrame, by: str, order: str, role: str = "role", text: str = "text", system: str | None = None) -> DataFrame:
     """(by, encoded): each conversation as one text, its turns in order."""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, turn(F.col(role), F.col(text)).alias("t")))), lambda x: x["t"]), "\n")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, turn(F.col(role), F.col(text)).alias("__turn")))), lambda x: x["__turn"]), "\n")
     head = f"{START}system\n{system}{END}\n" if system else ""
     return turns.groupBy(by).agg(F.concat(F.lit(head), body).alias("encoded"))
 

@@ -97,10 +97,11 @@ def batch(rows: DataFrame, key: str, order: list[str], fold: Fold, at: str = "ts
     return work.groupBy(key).applyInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", keep boolean")
 
 
-def stream(rows: DataFrame, key: str, order: list[str], fold: Fold, at: str = "ts", idle: str = "1 hour") -> DataFrame:
-    """The same over a stream: rows that arrive in one micro-batch are put in order first. State goes when a key has been idle."""
+def stream(rows: DataFrame, key: str, order: list[str], fold: Fold, at: str = "ts", idle: str | None = "1 hour") -> DataFrame:
+    """The same over a stream: rows that arrive in one micro-batch are put in order first. State goes when a key has been idle.
+    A run over what is available needs idle=None: with a timeout there is always one more batch to come."""
     work = rows.withColumn("ms", F.unix_millis(F.col(at).cast("timestamp")))
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
     def run(_key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
@@ -113,11 +114,12 @@ def stream(rows: DataFrame, key: str, order: list[str], fold: Fold, at: str = "t
             state, keep = fold(state, row)
             keeps.append(keep)
         held.update((json.dumps(state),))
-        held.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            held.setTimeoutDuration(idle_ms)
         yield frame.drop(columns="ms").assign(keep=keeps)
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", keep boolean"
-    return work.groupBy(key).applyInPandasWithState(run, out, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return work.groupBy(key).applyInPandasWithState(run, out, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def latest_snapshot(rows: DataFrame, key: str, seq: str) -> DataFrame:

@@ -107,7 +107,7 @@ def test_folds_batch_and_stream(spark, tmp_path, fold, times, extra, want):
         spark.createDataFrame(part, rows.schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
     name = f"out{abs(hash((str(fold), tuple(times))))}"
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    run = state.stream(source, "k", ["ts", "i"], fold).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run = state.stream(source, "k", ["ts", "i"], fold, idle=None).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert sorted((r.i, r.keep) for r in spark.sql(f"SELECT * FROM {name}").collect()) == list(enumerate(want))
 
