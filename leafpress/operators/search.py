@@ -20,12 +20,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def search(index: DataFrame, n_docs: int, queries: DataFrame, k: int, id_col: str = "doc_id", query_col: str = "query") -> DataFrame:
-    """(query_id, id, score, rank): top k by the sum over distinct terms of (1 + ln tf) ln(1 + N / df), ties by id. Only rows of
+    """(query_id, id, score, rank): top k by the sum over distinct terms of (1 + ln tf) ln(1 + N / df), ties by id. Scores are
+    in millionths, as whole numbers, so that they don't depend on the order of the sum. Only rows of
     terms that a query has leave the scan; terms join on equal keys."""
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col(query_col)))).alias("term"))
     df = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     hits = index.join(asked, "term").join(df, "term")
-    scored = hits.groupBy("query_id", id_col).agg(F.round(F.sum((1 + F.log("tf")) * F.log(1 + F.lit(n_docs) / F.col("df"))), 6).alias("score"))
+    scored = hits.groupBy("query_id", id_col).agg(F.sum(F.round((1 + F.log("tf")) * F.log(1 + F.lit(n_docs) / F.col("df")) * 1_000_000).cast("long")).alias("score"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
     return scored.withColumn("rank", best).filter(F.col("rank") <= k)
 
