@@ -13,17 +13,24 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1)
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf, length): write it partitioned or bucketed by term to search without a scan of all texts."""
-    words = docs.select(id_col, terms(F.col(text_col)).alias("w"))
-    return words.select(id_col, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(id_col, "length", "term").agg(F.count("*").alias("tf"))
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, length): write it partitioned or bucketed by term to search without a scan of all texts. wanted: rows of
+    term, for an index of these alone; others go before anything is counted or shuffled."""
+    words = docs.select(id_col, terms(F.col(text_col)).alias("w")).select(id_col, F.size("w").alias("length"), F.explode("w").alias("term"))
+    if wanted is not None:
+        words = words.join(wanted.select("term").distinct(), "term", "left_semi")
+    return words.groupBy(id_col, "length", "term").agg(F.count("*").alias("tf"))
+
+
+def query_terms(queries: DataFrame, query_col: str = "query") -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(terms(F.col(query_col)))).alias("term"))
 
 
 def search(index: DataFrame, n_docs: int, queries: DataFrame, k: int, id_col: str = "doc_id", query_col: str = "query") -> DataFrame:
     """(query_id, id, score, rank): top k by the sum over distinct terms of (1 + ln tf) ln(1 + N / df), ties by id. Scores are
-    in millionths, as whole numbers, so that they don't depend on the order of the sum. Only rows of
-    terms that a query has leave the scan; terms join on equal keys."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col(query_col)))).alias("term"))
+    in millionths, as whole numbers, so that they don't depend on the order of the sum. Only rows of terms that a query has leave
+    the scan; terms join on equal keys."""
+    asked = query_terms(queries, query_col)
     df = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     hits = index.join(asked, "term").join(df, "term")
     scored = hits.groupBy("query_id", id_col).agg(F.sum(F.round((1 + F.log("tf")) * F.log(1 + F.lit(n_docs) / F.col("df")) * 1_000_000).cast("long")).alias("score"))

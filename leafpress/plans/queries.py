@@ -323,7 +323,7 @@ SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank
 def local_search_topk(spark, d):
     docs = table(spark, d, "documents")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(search.terms(F.col("text")), 1, 4), " ").alias("query"))
-    best = search.search(search.build_index(docs), docs.count(), asked, 5)
+    best = search.search(search.build_index(docs, wanted=search.query_terms(asked)), docs.count(), asked, 5)
     return best.select("query_id", "doc_id", "score", "rank")
 
 
