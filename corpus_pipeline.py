@@ -12,7 +12,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.llm import bpe, lines, mixing, simhash, toxicity
+from leafpress.llm import bpe, lines, mixing, shingles, toxicity
 from leafpress.llm.base import documents, shared_dir
 
 
@@ -28,8 +28,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
-    return simhash.keep_one(docs).select(*docs.columns)
+    """Of each group of documents that share 0.8 or more of their five-word shingles the one with the smallest id stays."""
+    return shingles.keep_one(docs).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,6 +141,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs with one document of each component: the one with the smallest id (rows without an id come last; between texts of
     the same id a hash decides)."""
     first = _grouped(docs, id_col, text_col).groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "content")).alias("first"))
+    return keep_first(docs, first, id_col, text_col)
+
+
+def keep_first(docs: DataFrame, first: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that first names by id and content (a hash of the text); of equal rows one."""
     first = first.select(F.col("first.id").alias("keep_id"), F.col("first.content").alias("keep_content"))
     inner = sealed(docs, {"__id": F.col(id_col), "__content": F.xxhash64(F.col(text_col))}, [])
     kept = inner.join(first, F.col("__id").eqNullSafe(F.col("keep_id")) & (F.col("__content") == F.col("keep_content")), "left_semi")
