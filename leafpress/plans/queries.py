@@ -327,6 +327,21 @@ def local_search_topk(spark, d):
     return best.select("query_id", "doc_id", "score", "rank")
 
 
+@query(r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+idx AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM idx GROUP BY 1),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id AS query_id, doc_id, CAST(sum(CAST(round((1 + ln(tf)) * ln(1 + (SELECT count(*) FROM documents) / df.df) * 1000000) AS BIGINT)) AS BIGINT) AS score FROM q JOIN idx USING (term) JOIN df USING (term) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def local_search_topk_whole(spark, d):
+    docs = table(spark, d, "documents")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    best = search.search(search.build_index(docs, wanted=search.query_terms(asked)), docs.count(), asked, 5)
+    return best.select("query_id", "doc_id", "score", "rank")
+
+
 @query(r"""
 WITH r AS (SELECT d.source, d.doc_id, l.quality = 1 AS q FROM documents d JOIN labels l USING (doc_id)),
 c AS (SELECT *, sum(CAST(q AS INTEGER)) OVER (PARTITION BY source) AS nq, row_number() OVER (PARTITION BY source, q ORDER BY doc_id) AS own FROM r),
