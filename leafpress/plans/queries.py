@@ -298,6 +298,15 @@ def serp_fallback_terms(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(text.fallback_queries(words)).alias("q"))
 
 
+@query(rf"""
+WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, w, len(w) AS n, CAST(ceil(len(w) / 4.0) AS INTEGER) AS step FROM w),
+f AS (SELECT doc_id, w, i, CASE WHEN i = 4 THEN array_to_string(w[1:2], ' ') WHEN n - step * i > 0 THEN array_to_string(w[1:n - step * i], ' ') ELSE '' END AS q FROM s, unnest([1, 2, 3, 4]) AS t(i))
+SELECT doc_id, q FROM f WHERE q != '' AND q != array_to_string(w, ' ') GROUP BY doc_id, q""")
+def serp_fallback_terms_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.explode(text.fallback_queries(F.array_join(F.split(F.btrim("text", F.lit(" \n")), r"\s+"), " "))).alias("q"))
+
+
 @query(r"""
 SELECT p_partkey, lower(trim(p_type)) NOT IN ('', 'image', 'img') AS useful, CASE WHEN p_size % 3 = 0 THEN FALSE ELSE TRUE END AS flag,
   CASE WHEN least(p_size, 40) <= 1 THEN 'A tracking pixel' WHEN least(p_size, 40) < 64 THEN 'A small image' END AS small,
