@@ -288,6 +288,17 @@ def parse_site_operators(spark, d):
     return table(spark, d, "documents").select("doc_id", q["query"].alias("query"), F.array_join(q["sites"], ",").alias("sites"), F.array_join(q["no_sites"], ",").alias("no_sites"))
 
 
+@query(rf"""
+WITH w AS (SELECT doc_id, lower(source) || '.com' AS s, {_WORDS} AS w FROM documents)
+SELECT doc_id, array_to_string(list_filter(w, lambda x: NOT regexp_matches(lower(x), '^-?site:.+')), ' ') AS query,
+  array_to_string(list_concat([s], list_transform(list_filter(w, lambda x: regexp_matches(lower(x), '^site:.+')), lambda x: lower(regexp_replace(x, '^[^:]*:', '')))), ',') AS sites,
+  array_to_string(list_concat(list_transform(list_filter(w, lambda x: regexp_matches(lower(x), '^-site:.+')), lambda x: lower(regexp_replace(x, '^[^:]*:', ''))), ['bad.org']), ',') AS no_sites
+FROM w""")
+def parse_site_operators_whole(spark, d):
+    q = text.search_query(F.concat(F.lit("Site:"), F.upper("source"), F.lit(".COM "), F.btrim("text", F.lit(" \n")), F.lit(" -site:bad.org")))
+    return table(spark, d, "documents").select("doc_id", q["query"].alias("query"), F.array_join(q["sites"], ",").alias("sites"), F.array_join(q["no_sites"], ",").alias("no_sites"))
+
+
 @query(rf"""
 WITH w AS (SELECT doc_id, {_WORDS}[1:9] AS w FROM documents),
 s AS (SELECT doc_id, w, len(w) AS n, CAST(ceil(len(w) / 4.0) AS INTEGER) AS step FROM w),
