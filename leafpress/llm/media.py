@@ -167,10 +167,22 @@ def _field(view: memoryview, kind: bytes, start: int, stop: int, t: dict) -> Non
         if one and n > len(view):
             raise Malformed("more samples than bytes")
         t["sizes"] = [one] * n if one else [s for (s,) in _table(view, start + 8, stop, "I")]
+    elif kind == b"stz2":
+        bits, n = _u32(view, start + 4, stop) & 0xFF, _u32(view, start + 8, stop)
+        if bits not in (4, 8, 16):
+            raise Malformed("sample sizes of unknown width")
+        if start + 12 + (n * bits + 7) // 8 > stop:
+            raise Malformed("table longer than its box")
+        if bits == 4:
+            t["sizes"] = [view[start + 12 + i // 2] >> 4 if i % 2 == 0 else view[start + 12 + i // 2] & 15 for i in range(n)]
+        else:
+            t["sizes"] = [s for (s,) in _table(view, start + 8, stop, "B" if bits == 8 else "H")]
 
 
 def _samples(t: dict, length: int) -> None:
     """Byte offset of each sample: chunks take so many samples each as the run they belong to says."""
+    if t.get("chunks") and "sizes" not in t:
+        raise Malformed("chunks without sample sizes")
     sizes, chunks, runs = t.setdefault("sizes", []), t.get("chunks", []), t.get("runs", [])
     offsets: list[int] = []
     bounds = [*(r[0] for r in runs[1:]), len(chunks) + 1]
