@@ -2,7 +2,7 @@
 
 A gear hash over the last WINDOW bytes marks possible cuts: many after the normal chunk size, few before it (normalised
 chunking), none below the least size, and a forced one at the largest. As a cut depends on the bytes near it alone, text that
-moves keeps its chunks. A fingerprint is the set of chunk digests, each weighted by the bytes it covers; two fingerprints are as
+moves keeps its chunks. A fingerprint is the set of chunk digests (64 bits), each weighted by the bytes it covers; two fingerprints are as
 alike as the weight they share against the lighter of the two.
 
 Null and empty texts have the empty fingerprint, which is like itself (1) and unlike any other (0). Equal texts have equal
@@ -79,7 +79,7 @@ def fingerprints(texts: list[bytes]) -> list[dict[str, int]]:
     for text, ends in zip(texts, cuts(texts), strict=True):
         of, at = {}, 0
         for end in ends:
-            key = xxhash.xxh32_hexdigest(text[at:end])
+            key = xxhash.xxh64_hexdigest(text[at:end])
             of[key] = of.get(key, 0) + end - at
             at = end
         out.append(of)
