@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 from uuid import uuid4
 
@@ -19,13 +20,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests on one machine) a
-    temporary folder is made."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session in one process (tests) gets
+    a temporary folder; a cluster has none that all its machines see, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="leafpress-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -51,6 +54,26 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+class Scratch:
+    """Tables of one call in a folder of their own below the shared one. What only other tables are made of can be dropped."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.top = spark, f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a Parquet table, read again with df's schema."""
+        df.write.parquet(f"{self.top}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.top}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that no later query reads, and lets the shuffle files behind them go."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        for name in names:
+            path = hadoop(f"{self.top}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        release(self.spark)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches hold at most so many rows, as a row can be a long document. A smaller setting is kept."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
