@@ -4,7 +4,7 @@ probe() walks the nested boxes of a file, decodes the sample tables of its track
 of every keyframe without touching the payload. wrap() stores bytes losslessly as one track of 8-bit samples.
 
 A box is a 32-bit size, a type, and for size 1 a 64-bit size; size 0 reaches to the end. Reading never goes past the parent:
-what isn't a well-formed file gives a row with an error and no tracks, never a failed task. Null media give nulls with the
+what isn't a well-formed file (also one whose numbers fit no column) gives a row with an error and no tracks, never a failed task. Null media give nulls with the
 error "null". Movie fragments are not decoded (error "fragmented"). Other columns stay; only those named as an output are
 replaced. Equal payloads give equal files. An empty table gives an empty result.
 """
@@ -140,6 +140,9 @@ def tracks(data: bytes) -> list[dict]:
                 _field(view, kind, start, stop, track)
     if fragmented:
         raise Malformed("fragmented")
+    # A header can claim samples of one size without a table of them: all tracks together hold no more bytes than the file.
+    if sum(one * n for one, n in (t.get("even", (0, 0)) for t in found)) > len(view):
+        raise Malformed("more samples than bytes")
     for t in found:
         _samples(t, len(view))
     return found
@@ -164,9 +167,10 @@ def _field(view: memoryview, kind: bytes, start: int, stop: int, t: dict) -> Non
         t["chunks"] = [c for (c,) in _table(view, start + 4, stop, "I" if kind == b"stco" else "Q")]
     elif kind == b"stsz":
         one, n = _u32(view, start + 4, stop), _u32(view, start + 8, stop)
-        if one and n > len(view):
-            raise Malformed("more samples than bytes")
-        t["sizes"] = [one] * n if one else [s for (s,) in _table(view, start + 8, stop, "I")]
+        t.pop("sizes", None)
+        t["even"] = (one, n) if one else (0, 0)
+        if not one:
+            t["sizes"] = [s for (s,) in _table(view, start + 8, stop, "I")]
     elif kind == b"stz2":
         bits, n = _u32(view, start + 4, stop) & 0xFF, _u32(view, start + 8, stop)
         if bits not in (4, 8, 16):
@@ -181,11 +185,14 @@ def _field(view: memoryview, kind: bytes, start: int, stop: int, t: dict) -> Non
 
 def _samples(t: dict, length: int) -> None:
     """Byte offset of each sample: chunks take so many samples each as the run they belong to says."""
+    one, n = t.get("even", (0, 0))
+    if one:
+        t["sizes"] = [one] * n
     if t.get("chunks") and "sizes" not in t:
         raise Malformed("chunks without sample sizes")
     sizes, chunks, runs = t.setdefault("sizes", []), t.get("chunks", []), t.get("runs", [])
     offsets: list[int] = []
-    bounds = [*(r[0] for r in runs[1:]), len(chunks) + 1]
+    bounds = [*(r[0] for r in runs[1:]), len(chunks) + 1][: len(runs)]
     for (first, per, _), stop in zip(runs, bounds, strict=True):
         for c in range(first - 1, stop - 1):
             if not 0 <= c < len(chunks):
@@ -252,11 +259,12 @@ def probe(table: DataFrame, media_col: str = "media") -> DataFrame:
                 try:
                     if (data := x.as_py()) is None:
                         raise Malformed("null")
-                    found.append(list(map(described, tracks(data))))
+                    given = pa.array([list(map(described, tracks(data)))], _TRACKS)
+                    found.append(given[0].as_py())
                     errors.append(None)
-                except Malformed as e:
+                except (ValueError, struct.error, OverflowError) as e:
                     found.append(None)
-                    errors.append(str(e))
+                    errors.append(str(e) if isinstance(e, Malformed) else f"malformed: {e}")
             names = [c for c in batch.schema.names if c != "__media"]
             yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(found, _TRACKS), pa.array(errors, pa.string())], names=[*names, "media_tracks", "media_error"])
 
