@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -24,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .base import documents, plus, sealed, small_batches, unsealed
 from .pieces import finder
@@ -53,8 +53,12 @@ class Bpe:
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.find_added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        if unknown := {*self.steps} - {"NFC", "Replace", "Lowercase"}:
+            raise ValueError(f"unknown normalisers {unknown}")
+        normalizer = Tokenizer.from_file(path).normalizer
+        self.library = normalizer.normalize_str if normalizer else None
         self.pieces = finder(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
-        self.spaced = bool(self.pieces(" a \t\n\u3000 ") != ["a"])
+        self.spaced = self.pieces(" a \t\n ") == ["a"]
         self.table = dict(enumerate(byte_symbols()))
         self.joined = {p for t in self.ids for p in self._neighbours(t)}
         self.known = Known(self)
@@ -70,18 +74,12 @@ class Bpe:
         return zip(symbols, symbols[1:], strict=False)
 
     def normalised(self, text: str) -> str:
-        for step in self.steps:
-            if step == "NFC":
-                text = unicodedata.normalize("NFC", text)
-            elif step == "Replace":
-                # White space in no piece: then collapsing it changes none.
-                text = _spaces(" ", text) if self.spaced else text
-            elif step == "Lowercase":
-                # Each code point on its own: no final sigma.
-                text = text.lower() if text.isascii() or "\u03a3" not in text else "".join(c.lower() for c in text)
-            else:
-                raise ValueError(f"unknown normaliser {step}")
-        return text
+        """As the library's normaliser, which also does it where the edition of Unicode can matter."""
+        if not text.isascii():
+            return self.library(text) if self.library else text
+        # White space in no piece: then collapsing it changes none.
+        text = text if self.spaced or "Replace" not in self.steps else _spaces(" ", text)
+        return text.lower() if "Lowercase" in self.steps else text
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
