@@ -3,15 +3,18 @@
 A record is a little-endian 64-bit length, the masked CRC-32C of those 8 bytes, the payload, the payload's masked CRC-32C, and a
 line feed. A payload is a format byte (1: an id follows), the 64-bit id or 8 zero bytes, the bytes that a token takes (2 or 4),
 and the tokens. Files hold records in ascending order of id (null last), shard by shard in the order of the file names' numbers.
-An index beside them gives shard file, byte offset and length of every record, so that a reader can shuffle and seek.
+An index beside them gives shard file, byte offset and length of every record, so that records can be taken in any order and place.
 
-Spark's own writer and reader move the bytes, so any file system that Spark knows will do, and a lost task is written again
+Spark's own file sources move the bytes, so any file system that Spark knows will do, and a lost task is written again
 under Spark's commit rules. Null texts count as empty: their record holds the end id alone. Repeated ids stay, ordered by text.
-An empty table writes no record. A record whose checksum fails is an error that names file and offset.
+An empty table writes no record. A record whose checksum fails is an error that names file and offset. Columns other than the id
+and the text aren't read, whatever their names. A file holds about SHARD_BYTES of text and one more document at most, and is one
+row when it is read; a document is never cut. Only plain byte-level BPE files are taken (no normaliser, the library's own pattern).
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from array import array
@@ -124,6 +127,11 @@ class Pieces:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex") or spec["model"].get("continuing_subword_prefix") or spec["model"].get("end_of_word_suffix"):
+            raise ValueError(f"{path}: not a plain byte-level BPE tokenizer")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -218,7 +226,10 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_records(spark: SparkSession, top: str) -> DataFrame:
     """One row a record, by the files: shard (order of the file), place (order in it), id, tokens (array<int>)."""
-    return _files(spark, top).mapInArrow(_rows(lambda ids: ids.astype(np.int32), pa.list_(pa.int32())), "shard long, place long, id long, tokens array<int>")
+    return _files(spark, top).mapInArrow(_rows(lambda ids: ids.astype(np.int32), pa.list_(pa.int32())), "shard struct<part:bigint,number:bigint>, place long, id long, tokens array<int>")
+
+
+_SHARD = pa.struct([("part", pa.int64()), ("number", pa.int64())])
 
 
 def _rows(of, kind: pa.DataType):
@@ -234,15 +245,39 @@ def _rows(of, kind: pa.DataType):
                         known, i, width = struct.unpack_from("<BqB", p)
                         ids.append(i if known else None)
                         values.append(of(np.frombuffer(p, f"<u{width}", offset=10)))
-                    yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ids), pa.int64()), pa.array(range(block, block + len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(values, kind)], names=["shard", "place", "id", "tokens" if kind == pa.list_(pa.int32()) else "value"])
+                    yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ids), _SHARD), pa.array(range(block, block + len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(values, kind)], names=["shard", "place", "id", "tokens" if kind == pa.list_(pa.int32()) else "value"])
 
     return run
 
 
-def _shard(name: str) -> int:
-    """The place of a file among all: its writer's partition, then its number within."""
-    part, number = re.match(r"part-(\d+).*?-c(\d+)", name).groups()
-    return int(part) << 20 | int(number)
+def _shard(name: str) -> dict[str, int]:
+    """The place of a file among all: its writer's partition, then its number within. Both stand at fixed places of the name: the
+    job's random letters between them can look like either."""
+    part, number = re.match(r"part-(\d+)-.*-c(\d+)(?:\.[a-z0-9]+)*$", name).groups()
+    return {"part": int(part), "number": int(number)}
+
+
+def read_shuffled(spark: SparkSession, top: str, seed: int = 0) -> DataFrame:
+    """All records in a random order that seed gives: id, tokens (array<int>), turn (the hash that orders them). Each record is cut
+    out of its file at the place that the index names, and its checksums are checked."""
+    entries = spark.read.parquet(f"{top}/index").groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("entries"))
+    files = _files(spark, top).withColumn("file", F.regexp_extract("path", "[^/]+$", 0)).join(entries, "file")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content, places in zip(batch.column("file"), batch.column("content"), batch.column("entries"), strict=True):
+                data, where = memoryview(content.as_buffer()), sorted((e["offset"], e["length"]) for e in places.as_py())
+                for block in range(0, len(where), 512):
+                    part = where[block : block + 512]
+                    payloads = [unframe(bytes(data[a : a + n]), f"{name.as_py()} at {a}")[0][1] for a, n in part]
+                    heads = [struct.unpack_from("<BqB", p) for p in payloads]
+                    tokens = [np.frombuffer(p, f"<u{w}", offset=10).astype(np.int32) for p, (_, _, w) in zip(payloads, heads, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(part)), pa.array([a for a, _ in part], pa.int64()), pa.array([i if known else None for known, i, _ in heads], pa.int64()), pa.array(tokens, pa.list_(pa.int32()))], names=["file", "offset", "id", "tokens"])
+
+    found = files.select("file", "content", "entries").mapInArrow(run, "file string, offset long, id long, tokens array<int>")
+    found = found.withColumn("turn", F.xxhash64(F.lit(seed), F.regexp_extract("file", r"^part-(\d+)-", 1), F.regexp_extract("file", r"-c(\d+)(?:\.[a-z0-9]+)*$", 1), "offset"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartitionByRange(n, "turn").sortWithinPartitions("turn").select("id", "tokens", "turn")
 
 
 def default_path() -> str:
@@ -255,7 +290,7 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = f"{shared_dir(spark)}/records-{uuid4().hex}"
     write_records(documents(spark, sf_dir), top, default_path())
     digest = _rows(lambda ids: {"n": len(ids), "crc": crc32(ids.astype("<u4").tobytes())}, pa.struct([("n", pa.int64()), ("crc", pa.int64())]))
-    rows = _files(spark, top).mapInArrow(digest, "shard long, place long, id long, value struct<n:bigint,crc:bigint>").select("shard", "place", "id", "value.*")
+    rows = _files(spark, top).mapInArrow(digest, "shard struct<part:bigint,number:bigint>, place long, id long, value struct<n:bigint,crc:bigint>").select("shard", "place", "id", "value.*")
     rows = table(rows, "digests")
     # One row a file: as many as the data has shards, a few bytes each.
     before = rows.groupBy("shard").agg(F.sum("n").alias("total")).select("shard", F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
