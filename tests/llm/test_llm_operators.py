@@ -75,6 +75,42 @@ def test_media(spark, odd, docs):
     assert media.with_media(odd).columns == [*[c for c in odd.columns if c != "media"], "media"]
 
 
+def test_probe_never_fails(spark):
+    """Boxes changed, cut, missing and doubled, and headers that claim much, give tracks or an error each."""
+    r = random.Random(12)
+    good = media.wrap(random.Random(1).randbytes(192 * 70))
+    kinds = [b"moov", b"trak", b"mdia", b"minf", b"stbl", b"stsd", b"stts", b"stss", b"stsc", b"stsz", b"stco", b"mdhd", b"mvhd", b"dinf"]
+    files = [good, media.box(b"moov", media.box(b"trak"))]
+    for kind in kinds:
+        at = good.index(kind) - 4
+        size = struct.unpack_from(">I", good, at)[0]
+        files += [good[: at + 4] + b"free" + good[at + 8 :], good[:at] + good[at + size :], good[: at + size] + good[at : at + size] + good[at + size :], good[: at + size // 2]]
+    for _ in range(1500):
+        data = bytearray(good)
+        for _ in range(r.randint(1, 3)):
+            data[r.randrange(700)] = r.choice([0, 1, 255, r.randrange(256)])
+        files.append(bytes(data))
+    # A thousand tracks, each of as many one-byte samples as the file has bytes.
+    stbl = media.box(b"stbl", media.full(b"stsz", struct.pack(">II", 1, 60_000)))
+    files.append(media.box(b"moov", *[media.box(b"trak", media.box(b"mdia", media.box(b"minf", stbl)))] * 1000))
+    table = spark.createDataFrame(list(enumerate(files)), "i int, media binary")
+    got = {x.i: x for x in media.probe(table).collect()}
+    assert len(got) == len(files) and got[0].media_error is None
+    assert all((x.media_tracks is None) == (x.media_error is not None) for x in got.values())
+    assert got[1].media_tracks[0].samples == 0 and got[len(files) - 1].media_error == "more samples than bytes"
+
+
+def test_media_by_hand(spark):
+    """The stored form and the feature of a short text, byte for byte and by arithmetic."""
+    (r,) = media.with_media(spark.createDataFrame([("é" * 100,)], "text string")).collect()
+    body = ("é" * 100).encode().ljust(384)
+    assert r.media.startswith(struct.pack(">I4s4sI4s4s", 24, b"ftyp", b"isom", 512, b"isom", b"iso2")) and r.media.endswith(struct.pack(">I4s", 392, b"mdat") + body)
+    start = len(r.media) - 384
+    assert struct.pack(">I4sIII", 20, b"stco", 0, 1, start) in r.media and struct.pack(">I4sIII", 20, b"stsz", 0, 192, 2) in r.media
+    (t,) = media.probe(spark.createDataFrame([(bytes(r.media),)], "media binary")).collect()[0].media_tracks
+    assert (t.codec, t.timescale, t.duration, t.samples, [tuple(k) for k in t.keyframes]) == ("raw ", 8000, 384, 2, [(0, start, 192)])
+
+
 def test_media_query(spark, sf, docs):
     got = {r.doc_id: r for r in media.op2_media_columns(spark, sf).collect()}
     for i, text in zip(docs.doc_id, docs.text, strict=True):
@@ -110,18 +146,23 @@ def test_suffix_order():
         assert suffixes.suffix_order(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-def test_anchors():
+def test_anchors(monkeypatch):
+    """Of each text on its own, whatever stands beside it."""
     r = random.Random(6)
-    for _ in range(60):
-        data = bytes(r.choice(b"ab " if r.random() < 0.5 else b"abcdefgh ") for _ in range(r.randint(0, 300)))
-        if len(data) < 50:
-            assert len(suffixes.anchors(data)[0]) == 0
-            continue
-        h, least = suffixes.minima(data)
-        want = [min(range(w, w + 26), key=lambda p: (h[p], p)) for w in range(len(data) - 49)]
-        hashes, place, first, last = suffixes.anchors(data)
-        assert [p for p, f, l in zip(place, first, last, strict=True) for _ in range(l - f + 1)] == want
-        assert sorted(set(hashes.tolist())) == suffixes.anchor_hashes(data).tolist()
+    texts = [bytes(r.choice(b"ab " if r.random() < 0.5 else b"abcdefgh ") for _ in range(r.choice([0, 49, 50, 51, r.randint(0, 300)]))) for _ in range(120)]
+    for portion in (1, 700, 1 << 18):
+        monkeypatch.setattr(suffixes, "PORTION", portion)
+        found = list(zip(*(x.tolist() for x in suffixes.anchors(texts)), strict=True))
+        different = list(zip(*(x.tolist() for x in suffixes.anchor_hashes(texts)), strict=True))
+        for i, data in enumerate(texts):
+            mine = [x[1:] for x in found if x[0] == i]
+            if len(data) < 50:
+                assert not mine and not [x for x in different if x[0] == i]
+                continue
+            h, _ = suffixes.minima(data)
+            want = [min(range(w, w + 26), key=lambda p: (h[p], p)) for w in range(len(data) - 49)]
+            assert [p for _, p, f, l in mine for _ in range(l - f + 1)] == want and all(a == h[p] for a, p, _, _ in mine)
+            assert [x[1] for x in different if x[0] == i] == sorted({a for a, *_ in mine})
 
 
 def test_suffix_query(spark, sf, docs):
@@ -129,36 +170,84 @@ def test_suffix_query(spark, sf, docs):
     assert got == brute_spans([(i, t.encode()) for i, t in zip(docs.doc_id, docs.text, strict=True)])
 
 
-def test_crowded_anchor(monkeypatch):
-    """Snippets beyond the bound are compared by digest, with the same result."""
+def test_orders_together():
+    """Many strings at once, each as on its own."""
+    r = random.Random(10)
+    for _ in range(60):
+        strings = [[r.randint(0, r.choice([1, 2, 4])) for _ in range(r.choice([1, 3, 30, 90]))] for _ in range(r.randint(1, 60))]
+        flat, sizes, want, at = np.array(sum(strings, [])), np.array([len(x) for x in strings]), [], 0
+        for x in strings:
+            want += [at + i for i in sorted(range(len(x)), key=lambda i: x[i:])]
+            at += len(x)
+        assert suffixes.suffix_orders(flat, sizes).tolist() == want == suffixes.ordered(flat, sizes).tolist()
+
+
+def shared_texts(n):
+    """Texts around one long passage that starts and ends at other places, one that few have, repeats in a text, and odd ones."""
     r = random.Random(7)
-    core = "".join(r.choice("abcdefgh") for _ in range(80))
-    texts = ["".join(r.choice("xyz") for _ in range(40)) + core[r.randint(0, 3) :] + "".join(r.choice("xy") for _ in range(30)) for _ in range(30)]
-    rows = []
-    for i, t in enumerate(texts):
-        b = t.encode()
-        for h, p, f, l in zip(*(x.tolist() for x in suffixes.anchors(b)), strict=True):
-            rows.append((h - (1 << 64) if h >> 63 else h, p - f, b[f:p] + b[p + 25 : l + 50], i, i, [f]))
+    word = lambda k, of: "".join(r.choice(of) for _ in range(k))
+    core, rare = word(90, "abcdefgh"), word(70, "stuv")
+    texts = [word(40, "xyz") + core[r.randint(0, 30) : 90 - r.randint(0, 25)] + word(30, "xy") + (rare if i % 9 == 0 else "") for i in range(n)]
+    texts += [core, core * 2, "ab" * 60, "ab" * 70, "a" * 49, "a" * 50, "a" * 200, "", None, core + "\u00e9" * 40, texts[0], texts[3]]
+    return [(i * 7 % 997, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("rare", [100, 10**9])
+def test_spans_against_brute_force(spark, monkeypatch, rare):
+    """The same result whether a sample shows frequent anchors or none."""
+    monkeypatch.setattr(suffixes, "RARE", rare)
+    rows = shared_texts(90)
+    if rare == 10**9:
+        monkeypatch.setattr(suffixes, "FREQUENT", 0)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert (len(suffixes._frequent(suffixes._texts(table, "doc_id", "text"), 100)) > 0) == (rare == 100)
+    got = {r.doc_id: (r.text, [tuple(x) for x in r.repeated]) for r in suffixes.with_spans(table).collect()}
+    want = brute_spans([(i, (t or "").encode()) for i, t in rows])
+    for i, t in rows:
+        spans = got[i][1]
+        rest = suffixes.kept((t or "").encode(), [{"first": a, "last": b} for a, b in spans])
+        assert (len((t or "").encode()), sum(b - a + 1 for a, b in spans), len(spans), hashlib.sha256(rest).hexdigest()) == want[i]
+
+
+def test_spans_come_from_the_order(spark, monkeypatch):
+    """Without the order nothing but whole copies is covered."""
+    texts = [t for _, t in shared_texts(30) if t]
+    data = [t.encode() for t in texts]
+    number, hashes, *_ = suffixes.anchors(data)
+    found = suffixes._dealt(data, (hashes.view(np.int64), number), np.zeros(0, np.int64))
+    rows = [(h, b, data[i][f : l + 50], [i], [i], [f]) for i, h, b, f, l in zip(*(x.tolist() for x in found), strict=True)]
     rows.sort()
     import pyarrow as pa
 
-    def covered():
-        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["hash", "before", "snippet", "did", "t1", "at"])
-        made = [x for b in suffixes._runs(iter([batch])) for x in zip(*(b.column(c).to_pylist() for c in ("t1", "did", "first", "last", "crowd")), strict=True)]
-        least = {}
-        for _, did, _, _, c in made:
-            least[c] = min(did, least.get(c, did))
+    def made(size):
+        kinds = [pa.int64(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+        parts = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + size], strict=True), kinds, strict=True)], names=["hash", "before", "snippet", "dids", "t1s", "ats"]) for a in range(0, len(rows), size)]
         out = {}
-        for t, did, first, last, c in made:
-            if c is None or did > least[c]:
+        for batch in suffixes._runs(iter(parts)):
+            for t, first, last in zip(*(batch.column(c).to_pylist() for c in ("t1", "first", "last")), strict=True):
                 out.setdefault(t, set()).update(range(first, last + 1))
         return out
 
-    plain = covered()
-    monkeypatch.setattr(suffixes, "CROWD", 3)
-    assert covered() == plain
+    whole = made(10_000)
     want = brute_spans([(i, t.encode()) for i, t in enumerate(texts)])
-    assert {i: len(plain.get(i, ())) for i in want} == {i: v[1] for i, v in want.items()}
+    assert {i: len(whole.get(i, ())) for i in want} == {i: v[1] for i, v in want.items()}
+    monkeypatch.setattr(suffixes, "BATCH", 1)
+    assert made(7) == whole
+    # With an order that is none the strings of different snippets never meet.
+    monkeypatch.setattr(suffixes, "ordered", lambda s, sizes: np.concatenate([np.arange(e - n, e) for n, e in zip(sizes, np.cumsum(sizes), strict=True)]))
+    assert sum(map(len, made(10_000).values())) < sum(map(len, whole.values()))
+
+
+def test_spans_edges(spark, odd, empty):
+    """Ids and texts that repeat, megabytes in one text, clashing names."""
+    long = " ".join(f"w{i * i % 9973}" for i in range(300_000))
+    table = spark.createDataFrame([(1, long), (2, "tail " + long[-1000:]), (2, "tail " + long[-1000:]), (None, long[:60])], "doc_id long, text string")
+    got = suffixes.with_spans(table).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, len(r.text), [tuple(x) for x in r.repeated][-1:]) for r in got if r.doc_id != 1) == [(False, 2, 1005, [(5, 1004)])] * 2 + [(True, 0, 60, [(0, 59)])]
+    clash = odd.withColumn("repeated", F.lit(7)).withColumn("t1", F.lit("x"))
+    done = suffixes.with_spans(clash)
+    assert sorted(done.columns) == sorted(clash.columns) and done.count() == 9 and {r.t1 for r in done.collect()} == {"x"}
+    assert suffixes.with_spans(empty).count() == 0
 
 
 # 4, 5
@@ -186,6 +275,52 @@ def test_bpe(spark, sf, docs):
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
 
 
+def test_code_points_of_any_edition():
+    """Case, composition and classes of code points follow the library, whatever Python's Unicode data says."""
+    r = random.Random(13)
+    texts = ["\ua7dc\u2c2f", "\u1e9e\u0130I\u0307", "\u0344\u0958 \U00016d63"]
+    texts += ["".join(chr(r.choice([r.randrange(32, 0x250), r.randrange(0x250, 0xD800), r.randrange(0xE000, 0x20000), 32])) for _ in range(30)) for _ in range(1500)]
+    library, own = Tokenizer.from_file(bpe.default_path()), bpe.load(bpe.default_path())
+    assert all(own.encode(t) == library.encode(t, add_special_tokens=False).ids for t in texts)
+    library, pieces = Tokenizer.from_file(records.default_path()), records.load(records.default_path())
+    assert all(np.frombuffer(b, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids for t, b in zip(texts, pieces.encode(texts), strict=True))
+
+
+def test_foreign_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        records.Pieces(bpe.default_path())
+
+
+def test_shards_by_name():
+    """Random letters of a name that look like its number change nothing."""
+    names = ["part-00000-c1234567-89ab-c000-9999-0123456789ab-c000.txt", "part-00000-c1234567-89ab-c000-9999-0123456789ab-c001.txt", "part-00001-c1234567-89ab-c000-9999-0123456789ab-c000.txt.gz"]
+    assert [(x["part"], x["number"]) for x in map(records._shard, names)] == [(0, 0), (0, 1), (1, 0)]
+
+
+def test_shuffled_reads(spark, docs, tmp_path):
+    top = str(tmp_path / "r")
+    rows = spark.createDataFrame(docs[["doc_id", "text"]][:60]).withColumn("tokens", F.lit(1)).withColumn("offset", F.lit("x"))
+    records.write_records(rows, top, records.default_path())
+    plain = {r.id: r.tokens for r in records.read_records(spark, top).collect()}
+    once, again, other = ([(r.id, r.tokens) for r in records.read_shuffled(spark, top, seed).collect()] for seed in (1, 1, 2))
+    assert once == again and dict(once) == plain and len(once) == 60
+    assert [i for i, _ in once] != sorted(plain) and [i for i, _ in once] != [i for i, _ in other]
+
+
+def test_records_edges(spark, empty, tmp_path):
+    """Nulls, repeated rows and a text of megabytes."""
+    library = Tokenizer.from_file(records.default_path())
+    long = "some words, again and again. " * 80_000
+    rows = [(3, long), (1, None), (1, "a"), (1, "a"), (None, "b"), (2, "")]
+    top = str(tmp_path / "r")
+    records.write_records(spark.createDataFrame(rows, "doc_id long, text string"), top, records.default_path())
+    got = [(r.id, r.tokens) for r in records.read_records(spark, top).orderBy("shard", "place").collect()]
+    want = [(1, None), (1, "a"), (1, "a"), (2, ""), (3, long), (None, "b")]
+    assert got == [(i, [*library.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in want]
+    records.write_records(empty, str(tmp_path / "e"), records.default_path())
+    assert records.read_records(spark, str(tmp_path / "e")).count() == 0 == records.read_shuffled(spark, str(tmp_path / "e")).count()
+
+
 def test_records(spark, sf, docs):
     assert records.crc32c([b"123456789"])[0] == 0xE3069283
 
