@@ -1,17 +1,22 @@
-"""Near-duplicates by the Jaccard likeness of word shingles, exact at any bound (SimHash at a few bits reaches near copies only).
+"""Near-duplicates at a likeness of word shingles: SimHash links first, then all that SimHash at a few bits can't reach.
 
 A text is the set of its shingles: runs of SHINGLE words, hashed to 64 bits; a shorter text is one shingle. Two texts link if the
-shared shingles are at least LIKE of all of theirs. Candidates come by prefix filtering: all sets are put in one order, and of n
-shingles the first n - ceil(LIKE n) + 1 are keys, so that sets that link share a key. The order puts shingles last that many
-documents of a sample have; the sample decides how many candidates there are, never which links are found. By their sizes and the
-places of the key most candidates are ruled out, and by sketches nearly all others: bits that a set's shingles flip in turn, of
-which two sets differ in no more than they have shingles of their own. What is left is compared set by set.
+shared shingles are at least LIKE of all of theirs. Candidates come in two steps, and every one is compared set by set:
+
+* the sets' SimHash fingerprints that differ in few bits, by the pigeonring filter of the SimHash operator. This joins near
+  copies, so that what follows needs no pair inside a group that stands;
+* prefix filtering for the rest, as sets of likeness LIKE can differ in a dozen bits, which no segment filter finds at a bearable
+  cost: all sets are put in one order, and of n shingles the first n - ceil(LIKE n) + 1 are keys, so that sets that link share a
+  key. The order puts shingles last that many documents of a sample have; the sample decides how many candidates there are, never
+  which links are found. By their sizes and the places of the key most candidates are ruled out, and by sketches nearly all others:
+  bits that a set's shingles flip in turn, of which two sets differ in no more than they have shingles of their own.
 
 Texts with equal sets are one row throughout. Where more than CROWD sets share a key, each is compared with the least first; then
 only sets that no link has joined so far are compared with each other. So a large group of near copies makes no square of pairs,
 and no link that would join two groups is lost.
 
-Null and empty texts have the empty set, which links only to itself. Null ids take part and count as larger than any other.
+Null and empty texts have the empty set, which links only to itself. Null ids take part and count as larger than any other. Equal
+rows count once, texts of any length are taken whole, other columns stay whatever their names, an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -25,9 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import release, small_batches, table
+from .base import Scratch, small_batches
 from .components import components
-from .simhash import keep_first
+from .simhash import keep_first, majority
+from .simhash import links as simhash_links
 
 SHINGLE, LIKE = 5, 0.8
 #: From this many sets on, a key's sets are compared with its least first.
@@ -99,21 +105,20 @@ def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], like: float = L
     return s[np.lexsort((s, weight))][: len(s) - ceil(like * len(s) - 1e-9) + 1]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, like: float, words: int) -> DataFrame:
+def _verified(keep: Scratch, step: str, pairs: DataFrame, sets: DataFrame, docs: DataFrame, like: float, words: int) -> DataFrame:
     """Of pairs (a, b) of sets those that link. Only documents in a pair are read into sets again."""
-    spark = docs.sparkSession
     seen = [sets.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"bits_{k}")) for k in "ab"]
     pairs = pairs.select("a", "b").distinct().join(seen[0], "a").join(seen[1], "b")
     apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    pairs = table(pairs.filter(apart <= F.lit((1 - like) / (1 + like)) * (F.col("n_a") + F.col("n_b")) + 1e-6).select("a", "b"), "pairs")
+    pairs = keep.table(pairs.filter(apart <= F.lit((1 - like) / (1 + like)) * (F.col("n_a") + F.col("n_b")) + 1e-6).select("a", "b"), f"pairs-{step}")
     asked = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     asked = sets.join(asked, "sid").select("sid", F.col("least.id").alias("i"), F.col("least.content").alias("c"))
     texts = docs.join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("content") == F.col("c"))).select("sid", "text").dropDuplicates(["sid"])
-    whole = table(_mapped(texts, lambda s: (s.view(np.int64),), "s array<long>", words), "sets")
+    whole = keep.table(_mapped(texts, lambda s: (s.view(np.int64),), "s array<long>", words), f"sets-{step}")
     both = pairs.join(whole.select(F.col("sid").alias("a"), F.col("s").alias("x")), "a").join(whole.select(F.col("sid").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    linked = table(both.filter(shared >= F.lit(like) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "linked")
-    release(spark)
+    linked = keep.table(both.filter(shared >= F.lit(like) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), f"linked-{step}")
+    keep.drop(f"pairs-{step}", f"sets-{step}")
     return linked
 
 
@@ -125,34 +130,50 @@ def _met(rows: DataFrame, others: DataFrame, like: float) -> DataFrame:
     return near.filter(most >= F.lit(like / (1 + like)) * (F.col("n") + F.col("n_b")) - 1e-6)
 
 
+def _near_prints(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets: those of equal fingerprints by the least of these, and the least of those of near fingerprints."""
+    of = sets.groupBy("fp").agg(F.min("sid").alias("first"))
+    equal = sets.select("sid", "fp").join(of, "fp").filter("sid != first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    near = simhash_links(of.select("fp")).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    firsts = [of.select(F.col("fp").alias(k), F.col("first").alias(f"of_{k}")) for k in "xy"]
+    return equal.unionByName(near.join(firsts[0], "x").join(firsts[1], "y").select(F.least("of_x", "of_y").alias("a"), F.greatest("of_x", "of_y").alias("b")))
+
+
 def _leasts(docs: DataFrame, like: float, words: int, crowd: int) -> DataFrame:
     """docs: id, text, content. (sid, least, root): each set, its first document and the least set that links reach from it."""
+    keep = Scratch(docs.sparkSession, "shingles")
     common = _common(docs, words)
 
     def signed(s: np.ndarray) -> tuple:
         digest = np.array([xxhash.xxh64_intdigest(s.tobytes())], np.uint64).view(np.int64)[0]
-        return int(digest), len(s), prefix(s, common, like).view(np.int64), sketch(s)
+        return int(digest), len(s), np.array([majority(s)], np.uint64).view(np.int64)[0], prefix(s, common, like).view(np.int64), sketch(s)
 
-    found = _mapped(docs, signed, "sid long, n int, keys array<long>, sketch array<long>", words)
+    found = _mapped(docs, signed, "sid long, n int, fp long, keys array<long>, sketch array<long>", words)
     least = F.min(F.struct(F.isnull("id").alias("none"), "id", "content")).alias("least")
-    sets = table(found.groupBy("sid").agg(least, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "signed")
+    sets = keep.table(found.groupBy("sid").agg(least, *[F.first(c).alias(c) for c in ("n", "fp", "keys", "sketch")]), "signed")
+    near = _verified(keep, "prints", _near_prints(sets), sets, docs, like, words)
+    joined = keep.table(components(near), "joined")
+
     keyed = sets.select("sid", "n", F.posexplode("keys").alias("at", "key"))
     of_key = Window.partitionBy("key")
-    shared = table(keyed.withColumns({"held": F.count("*").over(of_key), "first": F.min("sid").over(of_key)}).filter("held > 1"), "shared")
-    release(docs.sparkSession)
+    shared = keep.table(keyed.withColumns({"held": F.count("*").over(of_key), "first": F.min("sid").over(of_key)}).filter("held > 1"), "shared")
 
     few, many = shared.filter(F.col("held") <= crowd).select("sid", "n", "key", "at"), shared.filter(F.col("held") > crowd)
     stars = _met(many.filter("sid = first").select("sid", "n", "key", "at"), many.select("sid", "n", "key", "at"), like)
-    links = _verified(_met(few, few, like).select(F.col("sid").alias("a"), F.col("sid_b").alias("b")).unionByName(stars.select(F.col("sid").alias("a"), F.col("sid_b").alias("b"))), sets, docs, like, words)
-    roots = table(components(links), "roots")
+    pairs = _met(few, few, like).select(F.col("sid").alias("a"), F.col("sid_b").alias("b")).unionByName(stars.select(F.col("sid").alias("a"), F.col("sid_b").alias("b"))).distinct()
+    known = [joined.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab"]
+    apart = pairs.join(known[0], "a", "left").join(known[1], "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    links = near.unionByName(_verified(keep, "keys", apart.select("a", "b"), sets, docs, like, words))
+    roots = keep.table(components(links), "roots")
     rooted = many.select("sid", "n", "key", "at").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     # Only keys whose sets are in several groups are left.
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    rooted = table(rooted.join(open_keys, "key"), "rooted")
+    rooted = keep.table(rooted.join(open_keys, "key"), "rooted")
     rest = _met(rooted, rooted, like).filter("root != root_b").select(F.col("sid").alias("a"), F.col("sid_b").alias("b"))
-    more = _verified(rest, sets, docs, like, words)
+    more = _verified(keep, "rest", rest, sets, docs, like, words)
     if not more.isEmpty():
-        roots = table(components(links.unionByName(more)), "roots")
+        roots = keep.table(components(links.unionByName(more)), "all-roots")
+    keep.drop("shared", "rooted", "joined")
     return sets.select("sid", "least").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
 

@@ -47,7 +47,11 @@ def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     parts = [" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
-    hashes = np.fromiter(map(_hash, parts), np.uint64, len(parts))
+    return majority(np.fromiter(map(_hash, parts), np.uint64, len(parts)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 for none."""
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         block = hashes[at : at + (1 << 14)]
