@@ -32,3 +32,22 @@ def trim(turns: DataFrame, by: str, order: str, cost: Column, target: int, role:
     freed = F.coalesce(F.sum(F.when(F.col(role) != "system", F.col("__cost"))).over(past), F.lit(0))
     kept = weighed.withColumn("__left", F.sum("__cost").over(w) - freed).filter((F.col(role) == "system") | (F.col("__left") <= target))
     return kept.drop("__cost", "__left")
+
+
+def prompt_text(parts: Column) -> Column:
+    """A prompt's parts (array of struct kind, value: text, image or other, the last as JSON) as one text, a part a line."""
+    return F.array_join(F.transform(parts, lambda p: F.when(p["kind"] == "image", F.lit("[Image]")).otherwise(F.coalesce(p["value"], F.lit("")))), "\n")
+
+
+def merged_parts(parts: Column) -> Column:
+    """A prompt's parts with neighbouring texts as one; empty texts go."""
+    kind = "array<struct<kind:string,value:string>>"
+    some = F.filter(parts, lambda p: (p["kind"] != "text") | (F.coalesce(p["value"], F.lit("")) != ""))
+    one = lambda k, v: F.struct(k.cast("string").alias("kind"), v.cast("string").alias("value"))
+
+    def step(done: Column, p: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joins = (p["kind"] == "text") & F.coalesce(last["kind"] == "text", F.lit(False))
+        return F.when(joins, F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), one(F.lit("text"), F.concat(last["value"], p["value"])))).otherwise(F.array_append(done, one(p["kind"], p["value"])))
+
+    return F.aggregate(some, F.array().cast(kind), step)

@@ -18,7 +18,7 @@ _word = re.compile(r"[A-Za-z]+")
 _escapes = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
 
-class _Reader:
+class _Cursor:
     """A stack of open containers in place of recursion, so that any depth will do."""
 
     def __init__(self, text: str):
@@ -86,7 +86,7 @@ def parse(text: str | None, default: Any = None) -> Any:
             return json.loads(text)
         except ValueError:
             return default
-    r = _Reader(text)
+    r = _Cursor(text)
     r.at = start
     stack: list[list] = []  # [container, key that waits for its value]
 

@@ -22,16 +22,62 @@ def clean_attribute(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), rf"(\n+{SPACE}*)+", "\n")
 
 
+def published(parsed: Column, metadata: Column, last_modified: Column) -> Column:
+    """When a page was published: as its main content says, else its metadata, else its header; empty texts say nothing."""
+    some = lambda x: F.nullif(F.trim(x), F.lit(""))
+    return F.coalesce(some(parsed), some(F.try_element_at(F.try_element_at(metadata, F.lit("article:published_time")), F.lit(1))), some(last_modified))
+
+
 def final_tidy(markdown: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(markdown, f"^{SPACE}+|{SPACE}+$", ""), r"\n{3,}", "\n\n")
 
 
-def tidy_markdown(markdown: Column) -> Column:
-    """Links broken over lines are joined, blank lines squeezed, indents dropped."""
-    whole = F.regexp_replace(markdown, r"(\[[^\[\]\n]*?)\s*\n\s*(?=[^\[\]]*\]\s*\()", "$1 ")
-    link = F.regexp_replace(whole, r"\[\s*([^\]\n]+?)\s*\]\s*\(\s*([^)\s]+)\s*\)", "[$1]($2)")
-    image = F.regexp_replace(link, r"\[\s*([^\]\n!]*?)\s*!\[\s*([^\]]*?)\s*\]\(\s*([^)\s]*)\s*\)\s*\]\s*\(\s*([^)\s]+)\s*\)", "[$1 ![$2]($3)]($4)")
-    return F.trim(F.regexp_replace(F.regexp_replace(image, r"\n{3,}", "\n\n"), r"(?m)^[ \t]+", ""))
+def tidy_markdown(markdown: Column | str) -> Column:
+    """Links and pictures that are broken over lines or padded stand on one line, blank lines are squeezed to one, indents and
+    outer white space go. What doesn't close as a link stays."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: tidied(x) if x is not None else None)
+
+    return F.pandas_udf(run, T.StringType())(markdown)
+
+
+def tidied(text: str) -> str:
+    lines = [line.lstrip(" \t") for line in _links_joined(text).split("\n")]
+    out: list[str] = []
+    for line in lines:
+        if line or (out and out[-1]):
+            out.append(line)
+    return "\n".join(out).strip()
+
+
+def _links_joined(text: str) -> str:
+    """One scan: brackets are matched on a stack, and a closed one that an address in parentheses follows is written anew."""
+    parts: list[list[str]] = [[]]
+    i = 0
+    while i < len(text):
+        c = text[i]
+        if c == "[":
+            parts.append([])
+        elif c == "]" and len(parts) > 1:
+            label = "".join(parts.pop())
+            opened = i + 1
+            while opened < len(text) and text[opened].isspace():
+                opened += 1
+            end = text.find(")", opened) if text[opened : opened + 1] == "(" else -1
+            address = text[opened + 1 : end].strip() if end > 0 else ""
+            if address and len(address.split()) == 1:
+                parts[-1].append(f"[{' '.join(label.split())}]({address})")
+                i = end
+            else:
+                parts[-1].append(f"[{label}]")
+        else:
+            parts[-1].append(c)
+        i += 1
+    while len(parts) > 1:
+        rest = "".join(parts.pop())
+        parts[-1].append("[" + rest)
+    return "".join(parts[0])
 
 
 def pseudo_boolean(text: Column) -> Column:
@@ -84,7 +130,8 @@ def with_operators(q: Column, operators: dict[str, list[str]]) -> Column:
     return F.concat(q, F.lit(" " + (f"({groups[0]})" if len(groups) == 1 and " OR " in groups[0] else groups[0] if len(groups) == 1 else " AND ".join(f"({g})" for g in groups))))
 
 
-_RTL = r"[\u0590-\u05ff\u0600-\u06ff\u0700-\u074f\u0750-\u077f\u0780-\u07bf\u07c0-\u07ff\u08a0-\u08ff\ufb1d-\ufdff\ufe70-\ufeff]"
+#: A letter of a script that is written from right to left.
+_RTL = r"[\p{IsHebrew}\p{IsArabic}\p{IsSyriac}\p{IsThaana}\p{IsNko}]"
 
 
 def fallback_queries(q: Column) -> Column:

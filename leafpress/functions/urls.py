@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -142,7 +142,96 @@ def is_nonpublic(ip: str | None) -> bool | None:
     return any(found in ipaddress.ip_network(c) for c in (PRIVATE_V4 if found.version == 4 else PRIVATE_V6))
 
 
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), of)[0]
+
+
+def host_number(name: Column) -> Column:
+    """The IPv4 address that a host names in any of the forms that browsers take: one to four parts, each decimal, octal (0..) or
+    hexadecimal (0x..), the last one filling what is left. Null for a name, -1 for numbers that are no address."""
+    part = r"(?:[0-9]+|0[xX][0-9a-fA-F]*)"
+    value = lambda p: F.when(p.rlike(r"^0[xX]$"), F.lit("0")).when(p.rlike(r"^0[xX]"), F.conv(F.substr(p, F.lit(3)), 16, 10)).when(p.rlike(r"^0[0-7]+$"), F.conv(p, 8, 10)).otherwise(p).try_cast("double")
+
+    def whole(each: Column) -> Column:
+        n, last = F.size(each), F.element_at(each, -1)
+        rest = F.pow(F.lit(256.0), 5 - n)
+        before = F.slice(each, 1, n - 1)
+        fits = (n <= 4) & F.forall(before, lambda x: x <= 255) & (last < rest)
+        return F.when(fits, (F.aggregate(before, F.lit(0.0), lambda a, x: a * 256 + x) * rest + last).cast("long")).otherwise(F.lit(-1).cast("long"))
+
+    # Numbers up to 2^32 are whole in a double; longer ones are no address.
+    parts = F.split(F.regexp_replace(name, r"\.$", ""), r"\.")
+    return F.when(name.rlike(rf"(?:^|\.){part}\.?$"), F.when(name.rlike(rf"^{part}(?:\.{part})*\.?$"), _let(F.transform(parts, value), whole)).otherwise(F.lit(-1).cast("long")))
+
+
+def ipv6_hex(name: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address in brackets; null for anything else."""
+    bare = F.regexp_extract(F.lower(name), r"^\[([0-9a-f:.]*)(?:%[^\]]*)?\]$", 1)
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+
+    def without_quad(text: Column) -> Column:
+        quad = F.split(F.regexp_extract(text, r"(?:^|:)([0-9]+(?:\.[0-9]+){3})$", 1), r"\.")
+        pair = lambda i: F.concat(*[F.lpad(F.hex(F.element_at(quad, k).cast("int")), 2, "0") for k in (i, i + 1)])
+        return F.when(text.contains("."), F.when((F.size(quad) == 4) & F.forall(quad, lambda p: p.try_cast("int") <= 255), F.concat(F.regexp_replace(text, r"[0-9.]*$", ""), F.lower(pair(1)), F.lit(":"), F.lower(pair(3))))).otherwise(text)
+
+    def filled(sides: Column) -> Column:
+        left, right = groups(sides[0]), F.when(F.size(sides) > 1, groups(F.try_element_at(sides, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+        missing = 8 - F.size(left) - F.size(right)
+        fits = F.when(F.size(sides) == 2, missing > 0).otherwise((F.size(sides) == 1) & (missing == 0))
+        return F.when(fits, F.concat(left, F.array_repeat(F.lit("0"), missing), right))
+
+    whole = lambda g: F.when(F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), ""))
+    return F.when(F.startswith(name, F.lit("[")), _let(F.nullif(bare, F.lit("")), lambda t: _let(F.split(without_quad(t), "::"), lambda sides: _let(filled(sides), whole))))
+
+
+def is_nonpublic_host(name: Column) -> Column:
+    """Whether a host is an address that isn't public, in any form. An address mapped into IPv6 counts as what it maps; numbers
+    that are no address lead nowhere and count as a name; brackets without an IPv6 address aren't public."""
+
+    def six(digits: Column) -> Column:
+        inside = F.lit(False)
+        for low, high in map(cidr_bounds, PRIVATE_V6):
+            inside = inside | digits.between(f"{low:032x}", f"{high:032x}")
+        mapped = F.conv(F.substring(digits, 25, 8), 16, 10).cast("long")
+        return F.when(digits.startswith("0" * 20 + "ffff"), _let(mapped, lambda x: in_cidrs(x, PRIVATE_V4))).otherwise(inside)
+
+    four = _let(host_number(name), lambda x: in_cidrs(x, PRIVATE_V4))
+    return F.when(name.startswith("["), F.coalesce(_let(ipv6_hex(name), six), F.lit(True))).otherwise(F.coalesce(four, F.lit(False)))
+
+
 def safe_to_fetch(url: Column, own_hosts: Sequence[str] = ()) -> Column:
-    """Scheme, no local host, no private address, not the service itself."""
-    name = host(url)
-    return F.coalesce((scheme(url).isin("http", "https") & ~name.isin("localhost", "", *own_hosts) & ~is_nonpublic_v4(name)) | F.lower(url).startswith("blob:"), F.lit(False))
+    """Scheme, no local host, no private address in any form, not the service itself."""
+    safe = _let(host(url), lambda name: ~name.isin("localhost", "", *own_hosts) & ~is_nonpublic_host(name))
+    return F.coalesce((scheme(url).isin("http", "https") & safe) | F.lower(url).startswith("blob:"), F.lit(False))
+
+
+def target(path_url: Column, body_url: Column, html: Column, own_hosts: Sequence[str] = (), own_host: str = "r.example.com") -> Column:
+    """The page that a request means: the URL of its path, else of its body, else one made of the digest of the HTML it posts.
+    Without a scheme, http is meant. Null where nothing is given or the service itself is meant."""
+    some = lambda x: F.nullif(F.trim(x), F.lit(""))
+    given = fixed(F.coalesce(some(path_url), some(body_url)), own_host)
+    whole = F.when(given.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), given).otherwise(F.concat(F.lit("http://"), given))
+    posted = F.concat(F.lit("blob:"), F.sha2(html, 256))
+    return F.when(given.isNotNull(), F.when(~host(whole).isin(*(own_hosts or ("",))), whole)).otherwise(posted)
+
+
+def normalised(url: Column) -> Column:
+    """One form of a URL: scheme and host in lower case, no default port, no fragment, no dot segments, an empty path as a slash,
+    white space and control characters out. www, a trailing slash and the query's order stay."""
+    dots, dot = ("..", "%2e%2e", ".%2e", "%2e."), (".", "%2e")
+
+    def without_dots(segments: Column) -> Column:
+        kept = F.aggregate(segments, F.array().cast("array<string>"), lambda a, x: F.when(F.lower(x).isin(*dots), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(F.lower(x).isin(*dot), a).otherwise(F.array_append(a, x)))
+        slash = F.when(F.lower(F.element_at(segments, -1)).isin(*dots, *dot), F.lit("/")).otherwise(F.lit(""))
+        return _let(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(F.size(k) > 0, slash).otherwise(F.lit(""))))
+
+    def of(bare: Column) -> Column:
+        authority = F.regexp_extract(bare, _URL, 2)
+        port, login = F.regexp_extract(authority, r":(\d+)$", 1), F.regexp_extract(authority, r"^(.*@)", 1)
+        usual = F.when(scheme(bare) == "https", "443").when(scheme(bare) == "http", "80").otherwise("")
+        query = F.regexp_extract(bare, r"^[^?#]*(\?[^#]*)", 1)
+        tidy = F.replace(F.concat(_let(F.slice(F.split(path(bare), "/"), 2, 1 << 20), without_dots), query), F.lit(" "), F.lit("%20"))
+        return F.when(authority != "", F.concat(scheme(bare), F.lit("://"), login, host(bare), F.when((port != "") & (port != usual), F.concat(F.lit(":"), port)).otherwise(F.lit("")), tidy)).otherwise(bare)
+
+    return _let(F.regexp_replace(F.regexp_replace(url, r"[\t\n\r]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", ""), of)

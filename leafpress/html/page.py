@@ -9,11 +9,16 @@ from typing import Any
 
 from ..functions.resolve import host_of, resolve
 from ..options import Options
+from .density import main_of
 from .dom import Node, measure, parse, select
-from .markify import Citations, Images, Markify, clean_attribute, collapse, object_url, page_rules, trim
+from .writer import Citations, Images, Writer, clean_attribute, collapse, object_url, page_rules, trim
 
 #: Deeper or larger trees are given as plain text.
 MAX_DEPTH, MAX_ELEMENTS, MAX_BYTES = 256, 80_000, 32 << 20
+#: What a page that asks for proof of a person holds.
+CAPTCHA = ("captcha", "cf-turnstile-response")
+#: Fixed value: the least length of the main content's markdown, as a share of the whole page's.
+MAIN_SHARE = 0.3
 #: Elements that begin and end a line of plain text.
 BLOCKS = frozenset("address article aside blockquote br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 12_000))
@@ -202,6 +207,7 @@ def squeezed(text: str) -> str:
 
 
 def poorly_transformed(text: str, node: Node, no_gfm: bool) -> bool:
+    """Whether markdown is little better than the HTML. The shares of 0.8 and 0.6."""
     if not text or "\n" not in text or (text.startswith("<") and text.endswith(">")):
         return True
     if no_gfm or "<table" not in text or "</table>" not in text:
@@ -224,13 +230,15 @@ def _inside(node: Node, tag: str) -> bool:
     return False
 
 
-def describe(html: str | None, url: str | None, options: Options, wanted: frozenset[str], frames: Mapping[str, str] | None = None, captions: Mapping[str, str] | None = None, rebase: str | None = None, rules: Mapping[str, list] | None = None) -> dict[str, Any]:
-    """The wanted fields of a page. url is the page's; rebase, if given, is what its links count from. An unexpected page gives
-    its error and nothing else."""
+def describe(html: str | None, url: str | None, options: Options, wanted: frozenset[str], frames: Mapping[str, str] | None = None, captions: Mapping[str, str] | None = None, rebase: str | None = None, rules: Mapping[str, list] | None = None, shadow: str | None = None, parsed: str | None = None) -> dict[str, Any]:
+    """The wanted fields of a page. url is the page's; rebase, if given, is what its links count from; shadow is its HTML with
+    shadow trees expanded, parsed that of its main content, where the capture has them. An unexpected page gives its error and
+    nothing else."""
     out: dict[str, Any] = dict.fromkeys(wanted)
     try:
         if html is not None and len(html) > MAX_BYTES:
             raise ValueError("page too large")
+        html = shadow if options.with_shadow_dom and shadow else html
         root = parse(html)
         base = rebase or url
         full = root
@@ -243,28 +251,43 @@ def describe(html: str | None, url: str | None, options: Options, wanted: frozen
             "metadata": lambda: metadata_of(root), "external": lambda: external_of(root, base), "text": lambda: inner_text(root), "html": root.outer_html,
             "published_time": lambda: metadata_of(full).get("article:published_time", [None])[0],
             "links": lambda: links_of(root, base), "hrefs": lambda: [a.get("href") for a in root.elements("a") if a.get("href")], "imgs": lambda: images_of(root, base),
-            "n_elements": lambda: measure(root)[0], "max_depth": lambda: measure(root)[1],
+            "captcha": lambda: any(x in (html or "") for x in CAPTCHA), "n_elements": lambda: measure(root)[0], "max_depth": lambda: measure(root)[1],
         }
         for name in wanted & of.keys():
             out[name] = of[name]()
         if wanted & {"content", "link_list", "image_list", "degraded"}:
-            out |= {k: v for k, v in written(root, base, options, captions, rules).items() if k in wanted}
+            main = None
+            if options.readability_required:
+                main = parse(parsed) if parsed and not options.target_selector else main_of(root) if options.main_content else None
+            out |= {k: v for k, v in written(root, base, options, captions, rules, main).items() if k in wanted}
     except Exception as e:  # noqa: BLE001  one bad page must not end the job
         out["error"] = f"{type(e).__name__}: {e}"[:500]
     return out
 
 
-def written(root: Node, base: str | None, options: Options, captions: Mapping[str, str] | None = None, more: Mapping[str, list] | None = None) -> dict[str, Any]:
+def written(root: Node, base: str | None, options: Options, captions: Mapping[str, str] | None = None, more: Mapping[str, list] | None = None, main: Node | None = None) -> dict[str, Any]:
+    """The markdown of a page with its lists of links and pictures. main is its main content, if known: that is written instead
+    where its markdown has MAIN_SHARE of the whole page's length at least and isn't poor. Pictures and links are numbered in what
+    is written alone."""
     count, depth = measure(root)
     if depth > MAX_DEPTH or count > MAX_ELEMENTS:
         return {"content": inner_text(root), "link_list": [], "image_list": [], "degraded": True}
-    images = Images(options.retain_images, base, options.keep_img_data_url, {trim(object_url(k, base) if k.startswith("data:") else k): v for k, v in (captions or {}).items()})
-    links: str | Citations = Citations(host_of(base)) if options.retain_links == "gpt-oss" else options.retain_links
-    rules = page_rules(options.markdown, images, links, options.keep_img_data_url, base)
-    for tag, added in (more or {}).items():
-        rules[tag] = [*rules.get(tag, ()), *added]
-    m = Markify(options.markdown, base, not options.no_gfm or options.no_gfm == "table", rules, frozenset({"table"}) if options.no_gfm == "table" else frozenset())
-    text = trim(m.convert(next((c for c in root.children if c.tag == "html"), root)))
+
+    def convert(node: Node) -> tuple[str, Images, str | Citations]:
+        images = Images(options.retain_images, base, options.keep_img_data_url, {trim(object_url(k, base) if k.startswith("data:") else k): v for k, v in (captions or {}).items()})
+        links: str | Citations = Citations(host_of(base)) if options.retain_links == "gpt-oss" else options.retain_links
+        rules = page_rules(options.markdown, images, links, options.keep_img_data_url, base)
+        for tag, added in (more or {}).items():
+            rules[tag] = [*rules.get(tag, ()), *added]
+        m = Writer(options.markdown, base, not options.no_gfm or options.no_gfm == "table", rules, frozenset({"table"}) if options.no_gfm == "table" else frozenset())
+        return m.convert(next((c for c in node.children if c.tag == "html"), node)), images, links
+
+    text, images, links = convert(root)
+    if main is not None and main is not root and "markdown" not in options.respond_with:
+        found = convert(main)
+        if len(found[0]) >= MAIN_SHARE * len(text) and not poorly_transformed(trim(found[0]), main, bool(options.no_gfm)):
+            text, images, links = found
+    text = trim(text)
     if options.respond_with == "content" and poorly_transformed(text, root, bool(options.no_gfm)):
         text = inner_text(root)
     if options.with_links_summary == "gpt-oss":

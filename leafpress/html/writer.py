@@ -60,7 +60,7 @@ class Link:
 
 
 @dataclass
-class Markify:
+class Writer:
     """A converter for one page; links holds the page's anchors in order afterwards.
 
     base: what hrefs are resolved on (opaque bases are ignored). rules: replacements (text so far, node, converter) -> text by
@@ -70,7 +70,7 @@ class Markify:
     dialect: Dialect = field(default_factory=Dialect)
     base: str | None = None
     gfm: bool = True
-    rules: dict[str, list[Callable[[str, Node, Markify], str]]] = field(default_factory=dict)
+    rules: dict[str, list[Callable[[str, Node, Writer], str]]] = field(default_factory=dict)
     keep: frozenset[str] = frozenset()
     links: list[Link] = field(default_factory=list)
     link_of: dict[int, Link] = field(default_factory=dict)
@@ -310,31 +310,31 @@ def latex_of(node: Node) -> str:
     return " ".join(parts)
 
 
-def _tagged(before: str, after: str) -> Callable[[Markify, Node], str]:
+def _tagged(before: str, after: str) -> Callable[[Writer, Node], str]:
     """The children between two strings, or nothing."""
 
-    def rule(m: Markify, node: Node) -> str:
+    def rule(m: Writer, node: Node) -> str:
         text = m.inside(node)
         return f"{before}{text}{after}" if text else ""
 
     return rule
 
 
-BASIC: dict[str, Callable[[Markify, Node], str]] = {
-    **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), Markify.heading),
-    **dict.fromkeys(("div", "details"), Markify.block),
-    **dict.fromkeys(("strong", "b"), Markify.strong),
-    **dict.fromkeys(("em", "i"), Markify.em),
-    **dict.fromkeys(("ul", "ol"), Markify.list_),
+BASIC: dict[str, Callable[[Writer, Node], str]] = {
+    **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), Writer.heading),
+    **dict.fromkeys(("div", "details"), Writer.block),
+    **dict.fromkeys(("strong", "b"), Writer.strong),
+    **dict.fromkeys(("em", "i"), Writer.em),
+    **dict.fromkeys(("ul", "ol"), Writer.list_),
     **dict.fromkeys(("svg", "link", "script", "meta", "style"), lambda m, n: ""),
-    "p": Markify.paragraph, "blockquote": Markify.quote, "li": Markify.item, "a": Markify.anchor, "img": Markify.image,
-    "code": Markify.code, "pre": Markify.pre, "br": lambda m, n: "\n\n", "hr": lambda m, n: f"\n\n{m.dialect.hr}\n\n",
+    "p": Writer.paragraph, "blockquote": Writer.quote, "li": Writer.item, "a": Writer.anchor, "img": Writer.image,
+    "code": Writer.code, "pre": Writer.pre, "br": lambda m, n: "\n\n", "hr": lambda m, n: f"\n\n{m.dialect.hr}\n\n",
     "title": _tagged("", "\n"), "label": _tagged("", " "), "select": _tagged("\n", "\n\n"),
     "option": lambda m, n: n.get("value") + "\n", "figcaption": lambda m, n: f"\n\n{m.inside(n)}\n\n",
 }
-TABLES: dict[str, Callable[[Markify, Node], str]] = {
-    **dict.fromkeys(("del", "s", "strike"), Markify.struck), **dict.fromkeys(("td", "th"), Markify.cell),
-    "table": Markify.table, "tr": Markify.row, "input": Markify.input_, "math": Markify.math,
+TABLES: dict[str, Callable[[Writer, Node], str]] = {
+    **dict.fromkeys(("del", "s", "strike"), Writer.struck), **dict.fromkeys(("td", "th"), Writer.cell),
+    "table": Writer.table, "tr": Writer.row, "input": Writer.input_, "math": Writer.math,
 }
 
 
@@ -355,7 +355,7 @@ class Images:
     seen: dict[str, list[int]] = field(default_factory=dict)
     summary: dict[str, str] = field(default_factory=dict)
 
-    def __call__(self, _text: str, node: Node, _m: Markify) -> str:
+    def __call__(self, _text: str, node: Node, _m: Writer) -> str:
         alt = clean_attribute(node.get("alt"))
         if self.mode == "none":
             return ""
@@ -400,7 +400,7 @@ class Citations:
     host: str = ""
     used: list[Link] = field(default_factory=list)
 
-    def __call__(self, text: str, node: Node, m: Markify) -> str:
+    def __call__(self, text: str, node: Node, m: Writer) -> str:
         link = m.link_of.get(id(node))
         if link is None:
             return text

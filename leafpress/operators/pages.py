@@ -20,13 +20,14 @@ FIELDS = {
     "title": "string", "description": "string", "lang": "string", "published_time": "string", "text": "string", "html": "string", "content": "string",
     "links": _PAIRS, "hrefs": "array<string>", "link_list": _PAIRS, "image_list": _PAIRS,
     "imgs": "array<struct<src:string,alt:string,width:int,height:int>>", "metadata": "map<string,array<string>>", "external": "map<string,map<string,map<string,string>>>",
-    "n_elements": "int", "max_depth": "int", "degraded": "boolean", "error": "string",
+    "n_elements": "int", "max_depth": "int", "degraded": "boolean", "captcha": "boolean", "error": "string",
 }
 
 
-def parse_pages(pages: DataFrame, fields: Sequence[str], options: Options | None = None, html_col: str = "html", url_col: str = "url", frames_col: str | None = None, captions_col: str | None = None, rules: dict[str, list] | None = None) -> DataFrame:
-    """pages with the fields, and without the HTML. frames_col: map of URL to HTML; captions_col: map of image URL to text. rules:
-    further markdown rules by tag, functions (text so far, node, converter) -> text."""
+def parse_pages(pages: DataFrame, fields: Sequence[str], options: Options | None = None, html_col: str = "html", url_col: str = "url", frames_col: str | None = None, captions_col: str | None = None, rules: dict[str, list] | None = None, shadow_col: str | None = None, parsed_col: str | None = None) -> DataFrame:
+    """pages with the fields, and without the HTML. frames_col: map of URL to HTML; captions_col: map of image URL to text;
+    shadow_col: HTML with shadow trees expanded; parsed_col: HTML of the main content. rules: further markdown rules by tag,
+    functions (text so far, node, converter) -> text."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     options = options or Options()
@@ -37,6 +38,7 @@ def parse_pages(pages: DataFrame, fields: Sequence[str], options: Options | None
     work = {"__html": F.when(F.octet_length(html_col) <= MAX_BYTES, F.col(html_col)), "__url": F.col(url_col)}
     work |= {"__frames": F.col(frames_col)} if frames_col else {}
     work |= {"__captions": F.col(captions_col)} if captions_col else {}
+    work |= {k: F.when(F.octet_length(c) <= MAX_BYTES, F.col(c)) for k, c in (("__shadow", shadow_col), ("__parsed", parsed_col)) if c}
     inner = pages.select(*rest, *[v.alias(k) for k, v in work.items()])
     wanted = frozenset(names)
 
@@ -44,7 +46,8 @@ def parse_pages(pages: DataFrame, fields: Sequence[str], options: Options | None
         for batch in batches:
             extra = [dict(v) if (v := x.as_py()) else None for x in batch.column("__frames")] if frames_col else [None] * batch.num_rows
             texts = [dict(v) if (v := x.as_py()) else None for x in batch.column("__captions")] if captions_col else [None] * batch.num_rows
-            rows = [describe(h.as_py(), u.as_py(), options, wanted, f, c, rules=rules) for h, u, f, c in zip(batch.column("__html"), batch.column("__url"), extra, texts, strict=True)]
+            shadows, mains = (batch.column(k).to_pylist() if c else [None] * batch.num_rows for k, c in (("__shadow", shadow_col), ("__parsed", parsed_col)))
+            rows = [describe(h.as_py(), u.as_py(), options, wanted, f, c, rules=rules, shadow=s, parsed=p) for h, u, f, c, s, p in zip(batch.column("__html"), batch.column("__url"), extra, texts, shadows, mains, strict=True)]
             made = [pa.array([_plain(r.get(n)) for r in rows], arrow.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays([*map(batch.column, rest), *made], names=[*rest, *names])
 
@@ -83,8 +86,9 @@ def link_summary(links: DataFrame, by: Sequence[str], pos: str = "pos", text: st
     return first.groupBy(*by, text).agg(F.min(pos).alias(pos), F.max_by(href, pos).alias(href))
 
 
-def warnings(status: Column, tokens: Column, *, intermediate: Column, hidden_frames: Column, hidden_shadow: Column, html: Column, cached: Column) -> Column:
+def warnings(status: Column, tokens: Column, *, intermediate: Column, hidden_frames: Column, hidden_shadow: Column, captcha: Column, cached: Column) -> Column:
     """Lines of warnings, null for none."""
+    # The sentences.
     few = tokens < 200
     say = lambda test, text: F.when(F.coalesce(test, F.lit(False)), F.lit(text))
     lines = F.concat_ws(
@@ -93,7 +97,7 @@ def warnings(status: Column, tokens: Column, *, intermediate: Column, hidden_fra
         say(few & intermediate, "This page maybe not yet fully loaded, consider explicitly specify a timeout."),
         say(few & hidden_frames, "This page contains iframe that are currently hidden, consider enabling iframe processing."),
         say(few & hidden_shadow, "This page contains shadow DOM that are currently hidden, consider enabling shadow DOM processing."),
-        say(few & (html.contains("captcha") | html.contains("cf-turnstile-response")), "This page maybe requiring CAPTCHA, please make sure you are authorized to access this page."),
+        say(few & captcha, "This page maybe requiring CAPTCHA, please make sure you are authorized to access this page."),
         say(few & cached, "This is a cached snapshot of the original page, consider retry with caching opt-out."),
     )
     return F.nullif(lines, F.lit(""))

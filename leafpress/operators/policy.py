@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,15 +28,30 @@ def robots_allowed(requests: DataFrame, rules: DataFrame, origin: str = "origin"
     return requests.join(hit, key, "left").withColumn("allowed", F.coalesce("__allow", F.lit(True))).drop("__allow")
 
 
+def _blocks(low: Column, high: Column) -> Column:
+    """The aligned blocks of 1, 256, 65536 and 16777216 addresses that make up a range: array of (level, block)."""
+    parts, a, b = [], low.cast("long"), high.cast("long") + 1
+    run = lambda k, x, y: F.when(x < y, F.transform(F.sequence(F.shiftright(x, 8 * k), F.shiftright(y, 8 * k) - 1), lambda n: F.struct(F.lit(k).alias("level"), n.alias("block")))).otherwise(F.array().cast("array<struct<level:int,block:bigint>>"))
+    for k in range(3):
+        unit = 256 << 8 * k
+        up, down = F.least(b, F.ceil(a / unit) * unit), F.floor(b / unit) * unit
+        down = F.greatest(up, down)
+        parts += [run(k, a, up), run(k, down, b)]
+        a, b = up, down
+    return F.concat(*parts, run(3, a, b))
+
+
 def in_ranges(rows: DataFrame, number: str, ranges: DataFrame, low: str, high: str) -> DataFrame:
-    """rows with the narrowest range that holds number (nulls where none does), for ranges of 32-bit addresses of any size: each
-    range is dealt to the /8 blocks it touches, so that the join has an equal key."""
-    cells = ranges.withColumn("__cell", F.explode(F.sequence(F.shiftright(low, 24), F.shiftright(high, 24))))
-    inner = rows.withColumn("__cell", F.shiftright(number, 24)).withColumn("__row", F.monotonically_increasing_id())
-    found = inner.join(cells, ["__cell"]).filter(F.col(number).between(F.col(low), F.col(high)))
-    best = found.withColumn("__n", F.row_number().over(Window.partitionBy("__row").orderBy(F.col(high) - F.col(low), low))).filter("__n = 1")
+    """rows with the narrowest range that holds number (nulls where none does; of ranges of a width the lowest), for ranges of
+    32-bit addresses. Ranges are dealt by the aligned blocks they are made of, and each different address asks for its block of
+    each size, so that the join has equal keys that no single large range heats up. Rows get their range by their address."""
     extra = [c for c in ranges.columns if c not in rows.columns]
-    return inner.join(best.select("__row", *extra), "__row", "left").drop("__row", "__cell")
+    cells = ranges.filter(F.col(low) <= F.col(high)).select(F.inline(_blocks(F.col(low), F.col(high))), F.struct((F.col(high) - F.col(low)).alias("width"), F.col(low).alias("from"), F.struct(*[F.col(c) for c in extra]).alias("of")).alias("__range"))
+    asked = rows.select(F.col(number).cast("long").alias("__number")).filter(F.col("__number").between(0, (1 << 32) - 1)).distinct()
+    asked = asked.select("__number", F.inline(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("__number", 8 * k).alias("block")) for k in range(4)])))
+    best = asked.join(cells, ["level", "block"]).groupBy("__number").agg(F.min_by("__range", F.struct("__range.width", "__range.from")).alias("__range"))
+    found = rows.join(best, F.col(number).cast("long") == F.col("__number"), "left")
+    return found.select(*rows.columns, *[F.col(f"__range.of.{c}").alias(c) for c in extra])
 
 
 def within_limits(requests: DataFrame, page: str, order: str, host: str, max_requests: int = 3300, max_hosts: int = 200) -> DataFrame:

@@ -66,6 +66,7 @@ def tier(amount: Column, has_option: dict[str, tuple[Column, float, int]]) -> Co
     return amount.cast("long")
 
 
+#: How a result's fields are called.
 LABELS = {"title": "Title", "source": "Source", "url": "URL Source", "image_url": "Image URL", "description": "Description", "published_time": "Published Time", "image_width": "Image Width", "image_height": "Image Height", "date": "Date", "favicon": "Favicon"}
 
 

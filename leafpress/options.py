@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
-from .html.markify import Dialect
+from .html.writer import Dialect
 
 FORMATS = ("content", "markdown", "html", "text", "pageshot", "screenshot", "vlm", "frontmatter")
 IMAGE_MODES, LINK_MODES = ("none", "all", "alt", "all_p", "alt_p"), ("none", "all", "text", "gpt-oss")
@@ -38,6 +38,7 @@ class Options:
     with_images_summary: bool = False
     with_iframe: str | bool = False
     with_shadow_dom: bool = False
+    main_content: bool = False  # find it by text density where the capture has none
     no_gfm: str | bool = False
     no_cache: bool = False
     cache_tolerance: int | None = None  # milliseconds
@@ -158,7 +159,7 @@ class Options:
             v = given.get(name)
             if v is not None:
                 given[name] = tuple(v) if isinstance(v, (list, tuple)) else tuple(str(v).split(", ")) if "x-" + name.replace("_", "-") in headers else (v,)
-        for name in ("with_generated_alt", "with_images_summary", "with_shadow_dom", "no_cache", "keep_img_data_url", "remove_overlay"):
+        for name in ("with_generated_alt", "with_images_summary", "with_shadow_dom", "main_content", "no_cache", "keep_img_data_url", "remove_overlay"):
             if name in given:
                 given[name] = truthy(given[name])
         for name in ("with_links_summary", "with_iframe", "no_gfm"):

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chat, markdown, text, urls
-from ..html.markify import Dialect
-from ..operators import cache, captures, pages, policy, search
+from ..html.writer import Dialect
+from ..operators import cache, captures, pages, policy, search, store
 from ..options import Options
 from ..sources import feeds, pdf, serp, sse
 from ..streaming import state
@@ -132,10 +132,9 @@ def page_chunks(spark, d):
 @query()
 def page_answer(spark, d):
     """The text answer of every page, with its links and warnings."""
-    src = table(spark, d, "pages")
-    rows = pages.parse_pages(src, ["title", "content", "link_list", "metadata"]).join(src.select("page_id", "html"), "page_id")
+    rows = pages.parse_pages(table(spark, d, "pages"), ["title", "content", "link_list", "captcha"])
     no = F.lit(False)
-    warning = pages.warnings(F.lit(200), text.token_estimate(F.col("content")), intermediate=no, hidden_frames=no, hidden_shadow=no, html=F.col("html"), cached=no)
+    warning = pages.warnings(F.lit(200), text.token_estimate(F.col("content")), intermediate=no, hidden_frames=no, hidden_shadow=no, captcha=F.col("captcha"), cached=no)
     return rows.select("page_id", pages.text_form(F.col("title"), F.col("url"), F.col("content"), warning=warning, links=F.col("link_list")).alias("answer"))
 
 
@@ -157,7 +156,7 @@ FROM (SELECT *, CASE page_id % 4 WHEN 0 THEN 404 WHEN 1 THEN 500 ELSE 200 END AS
 def page_warnings(spark, d):
     p, no = table(spark, d, "pages"), F.lit(False)
     status = F.when(F.col("page_id") % 4 == 0, 404).when(F.col("page_id") % 4 == 1, 500).otherwise(200)
-    found = pages.warnings(status, F.ceil(F.octet_length("html") / 4), intermediate=no, hidden_frames=no, hidden_shadow=no, html=F.lit(""), cached=F.col("page_id") % 3 == 0)
+    found = pages.warnings(status, F.ceil(F.octet_length("html") / 4), intermediate=no, hidden_frames=no, hidden_shadow=no, captcha=no, cached=F.col("page_id") % 3 == 0)
     return p.select("page_id", F.coalesce(found, F.lit("")).alias("warning"))
 
 
@@ -280,41 +279,23 @@ def whitespace_collapse(spark, d):
 _WORDS = r"list_filter(string_split_regex(trim(text, ' ' || chr(10)), '\s+'), lambda w: w != '')"
 
 
-@query(rf"""
-SELECT doc_id, array_to_string({_WORDS}[1:6], ' ') AS query, source || '.com' AS sites, 'bad.org' AS no_sites FROM documents""")
-def parse_site_operators(spark, d):
-    words = F.array_join(F.slice(F.split(F.btrim("text", F.lit(" \n")), r"\s+"), 1, 6), " ")
-    q = text.search_query(F.concat(F.lit("Site:"), F.upper("source"), F.lit(".COM "), words, F.lit(" -site:bad.org")))
-    return table(spark, d, "documents").select("doc_id", q["query"].alias("query"), F.array_join(q["sites"], ",").alias("sites"), F.array_join(q["no_sites"], ",").alias("no_sites"))
-
-
 @query(rf"""
 WITH w AS (SELECT doc_id, lower(source) || '.com' AS s, {_WORDS} AS w FROM documents)
 SELECT doc_id, array_to_string(list_filter(w, lambda x: NOT regexp_matches(lower(x), '^-?site:.+')), ' ') AS query,
   array_to_string(list_concat([s], list_transform(list_filter(w, lambda x: regexp_matches(lower(x), '^site:.+')), lambda x: lower(regexp_replace(x, '^[^:]*:', '')))), ',') AS sites,
   array_to_string(list_concat(list_transform(list_filter(w, lambda x: regexp_matches(lower(x), '^-site:.+')), lambda x: lower(regexp_replace(x, '^[^:]*:', ''))), ['bad.org']), ',') AS no_sites
 FROM w""")
-def parse_site_operators_whole(spark, d):
+def parse_site_operators(spark, d):
     q = text.search_query(F.concat(F.lit("Site:"), F.upper("source"), F.lit(".COM "), F.btrim("text", F.lit(" \n")), F.lit(" -site:bad.org")))
     return table(spark, d, "documents").select("doc_id", q["query"].alias("query"), F.array_join(q["sites"], ",").alias("sites"), F.array_join(q["no_sites"], ",").alias("no_sites"))
 
 
-@query(rf"""
-WITH w AS (SELECT doc_id, {_WORDS}[1:9] AS w FROM documents),
-s AS (SELECT doc_id, w, len(w) AS n, CAST(ceil(len(w) / 4.0) AS INTEGER) AS step FROM w),
-f AS (SELECT doc_id, w, i, CASE WHEN i = 4 THEN array_to_string(w[1:2], ' ') WHEN n - step * i > 0 THEN array_to_string(w[1:n - step * i], ' ') ELSE '' END AS q FROM s, unnest([1, 2, 3, 4]) AS t(i))
-SELECT doc_id, q FROM f WHERE q != '' AND q != array_to_string(w, ' ') GROUP BY doc_id, q""")
-def serp_fallback_terms(spark, d):
-    words = F.array_join(F.slice(F.split(F.btrim("text", F.lit(" \n")), r"\s+"), 1, 9), " ")
-    return table(spark, d, "documents").select("doc_id", F.explode(text.fallback_queries(words)).alias("q"))
-
-
 @query(rf"""
 WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (SELECT doc_id, w, len(w) AS n, CAST(ceil(len(w) / 4.0) AS INTEGER) AS step FROM w),
 f AS (SELECT doc_id, w, i, CASE WHEN i = 4 THEN array_to_string(w[1:2], ' ') WHEN n - step * i > 0 THEN array_to_string(w[1:n - step * i], ' ') ELSE '' END AS q FROM s, unnest([1, 2, 3, 4]) AS t(i))
 SELECT doc_id, q FROM f WHERE q != '' AND q != array_to_string(w, ' ') GROUP BY doc_id, q""")
-def serp_fallback_terms_whole(spark, d):
+def serp_fallback_terms(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(text.fallback_queries(F.array_join(F.split(F.btrim("text", F.lit(" \n")), r"\s+"), " "))).alias("q"))
 
 
@@ -332,21 +313,6 @@ def image_rules(spark, d):
 # Search
 
 
-@query(r"""
-WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
-idx AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
-df AS (SELECT term, count(*) AS df FROM idx GROUP BY 1),
-q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')[1:4]) AS term FROM benchmark),
-s AS (SELECT item_id AS query_id, doc_id, CAST(sum(CAST(round((1 + ln(tf)) * ln(1 + (SELECT count(*) FROM documents) / df.df) * 1000000) AS BIGINT)) AS BIGINT) AS score FROM q JOIN idx USING (term) JOIN df USING (term) GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
-SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
-def local_search_topk(spark, d):
-    docs = table(spark, d, "documents")
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(search.terms(F.col("text")), 1, 4), " ").alias("query"))
-    best = search.search(search.build_index(docs, wanted=search.query_terms(asked)), docs.count(), asked, 5)
-    return best.select("query_id", "doc_id", "score", "rank")
-
-
 @query(r"""
 WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
 idx AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
@@ -355,7 +321,7 @@ q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[^\x00-\x
 s AS (SELECT item_id AS query_id, doc_id, CAST(sum(CAST(round((1 + ln(tf)) * ln(1 + (SELECT count(*) FROM documents) / df.df) * 1000000) AS BIGINT)) AS BIGINT) AS score FROM q JOIN idx USING (term) JOIN df USING (term) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
-def local_search_topk_whole(spark, d):
+def local_search_topk(spark, d):
     docs = table(spark, d, "documents")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     best = search.search(search.build_index(docs, wanted=search.query_terms(asked)), docs.count(), asked, 5)
@@ -519,25 +485,53 @@ def rate_limit_offered(spark, d):
     return cache.offered_load(table(spark, d, "events"), "user_id", "ts", 86400).select("event_id", "n")
 
 
-@query()
+_STEPS = r"""
+WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, value, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+"""
+
+
+@query(_STEPS + r"""
+s AS (SELECT user_id, n, event_id, [ms] AS kept, TRUE AS accepted FROM e WHERE n = 1
+  UNION ALL
+  SELECT user_id, n, event_id, CASE WHEN len(recent) < 4 THEN list_append(recent, ms) ELSE recent END, len(recent) < 4
+  FROM (SELECT e.user_id, e.n, e.event_id, e.ms, list_filter(s.kept, lambda t: t + 86400000 > e.ms) AS recent FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+SELECT event_id, accepted FROM s""")
 def rate_limit_accepted(spark, d):
     rows = table(spark, d, "events").select("event_id", "user_id", "ts")
     return state.batch(rows, "user_id", ["ts", "event_id"], state.RateLimit(4, 86_400_000)).select("event_id", F.col("keep").alias("accepted"))
 
 
-@query()
+@query(_STEPS + r"""
+s AS (SELECT user_id, n, event_id, TRUE AS reported, ms AS made, CAST(value AS DOUBLE) AS size FROM e WHERE n = 1
+  UNION ALL
+  SELECT user_id, n, event_id, NOT same, CASE WHEN same THEN made ELSE ms END, CASE WHEN same THEN size ELSE value END
+  FROM (SELECT e.user_id, e.n, e.event_id, e.ms, e.value, s.made, s.size, e.ms - s.made < 21600000 AND abs(e.value - s.size) / (abs(s.size) + 1e-16) < 0.5 AS same FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+SELECT event_id, reported FROM s""")
 def snapshot_throttle(spark, d):
     rows = table(spark, d, "events").select("event_id", "user_id", "ts", F.col("value").alias("size"))
     return state.batch(rows, "user_id", ["ts", "event_id"], state.Throttle(6 * 3_600_000, 0.5)).select("event_id", F.col("keep").alias("reported"))
 
 
-@query()
+@query(r"""
+WITH m AS (SELECT event_id, user_id, ts, event_type = 'error' AS failed,
+  CASE WHEN event_type = 'error' AND lag(event_type) OVER w = 'error' AND ts - lag(ts) OVER w < INTERVAL 7 DAY THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM m)
+SELECT event_id, failed AND row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) > 2 AS alarm FROM r""")
 def error_alarms(spark, d):
-    rows = table(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("failed"))
-    return state.batch(rows, "user_id", ["ts", "event_id"], state.ErrorRun(2, 7 * 86_400_000)).select("event_id", F.col("keep").alias("alarm"))
-
-
-@query()
+    rows = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    found = state.error_alarms(rows, "user_id", ["ts", "event_id"], F.col("event_type") == "error", state.ErrorRun(2, 7 * 86_400_000))
+    return found.select("event_id", F.col("keep").alias("alarm"))
+
+
+@query(_STEPS + r"""
+k AS (SELECT *, CASE event_type WHEN 'click' THEN 'start' WHEN 'view' THEN 'done' WHEN 'purchase' THEN 'worked' ELSE 'tick' END AS what FROM e),
+s AS (SELECT user_id, n, event_id, what, CASE WHEN what = 'start' THEN 1 ELSE 0 END AS open, CASE WHEN what IN ('start', 'worked') THEN ms END AS worked, CASE WHEN what = 'start' THEN ms END AS asked, 0 AS strikes FROM k WHERE n = 1
+  UNION ALL
+  SELECT k.user_id, k.n, k.event_id, k.what, CASE k.what WHEN 'start' THEN s.open + 1 WHEN 'done' THEN greatest(0, s.open - 1) ELSE s.open END,
+    CASE k.what WHEN 'start' THEN coalesce(s.worked, k.ms) WHEN 'worked' THEN k.ms ELSE s.worked END, CASE k.what WHEN 'start' THEN k.ms ELSE s.asked END,
+    CASE k.what WHEN 'worked' THEN 0 WHEN 'tick' THEN s.strikes + CASE WHEN s.worked IS NOT NULL AND s.open > 1 AND s.asked >= s.worked AND k.ms - s.worked > 3600000 * (s.strikes + 1) THEN 1 ELSE 0 END ELSE s.strikes END
+  FROM s JOIN k ON k.user_id = s.user_id AND k.n = s.n + 1)
+SELECT event_id, what = 'tick' AND strikes >= 3 AS alarm FROM s""")
 def watchdog_alarms(spark, d):
     what = F.when(F.col("event_type") == "click", "start").when(F.col("event_type") == "view", "done").when(F.col("event_type") == "purchase", "worked").otherwise("tick")
     rows = table(spark, d, "events").select("event_id", "user_id", "ts", what.alias("what"))
@@ -630,3 +624,185 @@ def page_own_rule(spark, d):
     """Paragraphs with a rule of their own after the built-in one."""
     o = Options(respond_with="markdown", retain_links="none")
     return pages.parse_pages(table(spark, d, "pages"), ["content"], o, rules={"p": [lambda text, node, m: text.upper()]}).select("page_id", "content")
+
+
+# Addresses in other forms, targets
+
+
+_FORMS = r"""
+WITH n AS (SELECT o_orderkey, (o_orderkey * 2654435761) % 4294967296 AS num, o_orderkey % 5 AS form FROM orders),
+"""
+_NONPUBLIC = "(num BETWEEN 0 AND 16777215 OR num BETWEEN 167772160 AND 184549375 OR num BETWEEN 1681915904 AND 1686110207 OR num BETWEEN 2130706432 AND 2147483647 OR num BETWEEN 2851995648 AND 2852061183 OR num BETWEEN 2886729728 AND 2887778303 OR num BETWEEN 3232235520 AND 3232301055 OR num >= 3758096384)"
+
+
+@query(_FORMS + rf"""
+p AS (SELECT o_orderkey, NOT {_NONPUBLIC} AS safe FROM n) SELECT o_orderkey, safe FROM p""")
+def addresses_in_all_forms(spark, d):
+    """An address is judged the same as a dotted quad, one number, with a hexadecimal part, in two parts, or mapped into IPv6."""
+    n = table(spark, d, "orders").select("o_orderkey", ((F.col("o_orderkey").cast("decimal(20,0)") * 2654435761) % 4294967296).cast("long").alias("num"))
+    quad, low = urls.ipv4_text(F.col("num")), F.col("num").bitwiseAND(F.lit((1 << 24) - 1)).cast("string")
+    hexed = F.concat(F.lit("[::ffff:"), F.lower(F.hex(F.shiftright("num", 16))), F.lit(":"), F.lower(F.hex(F.col("num").bitwiseAND(F.lit(0xFFFF)))), F.lit("]"))
+    forms = F.array(quad, F.col("num").cast("string"), F.concat(F.lit("0x"), F.hex("num")), F.concat(F.shiftright("num", 24).cast("string"), F.lit("."), low), hexed)
+    url = F.concat(F.lit("http://user@"), F.element_at(forms, (F.col("o_orderkey") % 5 + 1).cast("int")), F.lit(":8080/a"))
+    return n.select("o_orderkey", urls.safe_to_fetch(url).alias("safe"))
+
+
+@query(r"""
+SELECT p_partkey, (p_size % 4) IN (0, 3) AS safe FROM part""")
+def ipv6_ranges(spark, d):
+    """Public and private IPv6 hosts in short and long forms."""
+    k = F.lower(F.hex(F.col("p_partkey") % 60000 + 1))
+    hosts = F.array(F.concat(F.lit("[2a00:1:"), k, F.lit("::7]")), F.concat(F.lit("[fd00::"), k, F.lit("]")), F.concat(F.lit("[FE80:0:0:0:0:0:0:"), k, F.lit("%25eth0]")), F.concat(F.lit("[2600:0:0:0::"), k, F.lit(":9]")))
+    return table(spark, d, "part").select("p_partkey", urls.safe_to_fetch(F.concat(F.lit("https://"), F.element_at(hosts, (F.col("p_size") % 4 + 1).cast("int")), F.lit("/x"))).alias("safe"))
+
+
+@query(r"""
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'http://' || regexp_replace(url, '^[a-z]+://', '') WHEN 2 THEN url ELSE 'blob:' || sha256(html) END AS target FROM pages""")
+def request_targets(spark, d):
+    p, k = table(spark, d, "pages"), F.col("page_id") % 4
+    path = F.when(k == 0, F.concat(F.lit(" https://r.example.com/"), "url")).when(k == 1, F.regexp_replace("url", "^[a-z]+://", "")).otherwise(F.lit(""))
+    return p.select("page_id", urls.target(path, F.when(k == 2, F.col("url")), F.col("html"), ("r.example.com",)).alias("target"))
+
+
+@query(r"""
+SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages""")
+def urls_normalised(spark, d):
+    """Pages' URLs with capitals, default ports, dot segments and fragments come back to one form."""
+    u = F.col("url")
+    port = F.when(urls.scheme(u) == "https", ":443").otherwise(":80")
+    odd = F.concat(F.lit("  "), F.upper(urls.origin(u)), port, F.lit("/./x/.."), F.regexp_replace(u, r"^[a-z]+://[^/?#]*", ""))
+    return table(spark, d, "pages").select("page_id", urls.normalised(odd).alias("url"))
+
+
+# Stored rows
+
+
+@query(r"""
+SELECT page_id, md5(lower(regexp_replace(url, '#([^/].*)?$', ''))) AS digest, substr(md5(lower(regexp_replace(url, '#([^/].*)?$', ''))), 1, 2) AS prefix,
+  TIMESTAMP '2024-01-01' + INTERVAL 7 DAY + to_seconds(page_id) AS expire_at
+FROM pages WHERE TIMESTAMP '2024-01-01' + INTERVAL 7 DAY + to_seconds(page_id) > TIMESTAMP '2024-01-08 00:00:20'""")
+def cache_rows(spark, d):
+    """Pages as the cache keeps them, those past their week left out."""
+    made = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("page_id"))
+    kept = store.stored(table(spark, d, "pages").withColumn("at", made))
+    return store.unexpired(kept, F.lit("2024-01-08 00:00:20").cast("timestamp_ntz")).select("page_id", "digest", "prefix", "expire_at")
+
+
+@query(r"""
+WITH p AS (SELECT conv_id, list(text ORDER BY turn) AS pages FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN pages[1] WHEN 1 THEN pages[2] END AS page FROM p""")
+def cached_page_by_number(spark, d):
+    """#2 is the second page of a document, no number the first, #0 none."""
+    held = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("pages"))
+    url = F.concat(F.lit("https://e.org/f.pdf"), F.element_at(F.array(*map(F.lit, ("", "#2", "#0"))), (F.col("conv_id") % 3 + 1).cast("int")))
+    return held.select("conv_id", store.page_at(F.col("pages"), url).alias("page"))
+
+
+@query(r"""
+WITH q AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), c AS (SELECT user_id, ts AS made, event_id AS answer FROM events WHERE event_type = 'click'),
+j AS (SELECT q.event_id, md5('{"page":1,"q":"' || q.user_id || '"}') AS digest, q.ts, c.made, c.answer FROM q ASOF LEFT JOIN c ON q.user_id = c.user_id AND q.ts >= c.made)
+SELECT event_id, digest, coalesce(answer, -1) AS answer, coalesce(made >= ts - INTERVAL 12 HOUR, FALSE) AS hit FROM j""")
+def search_results_cached(spark, d):
+    """Stored answers by the digest of the whole question."""
+    e = table(spark, d, "events").withColumns({"q": F.col("user_id").cast("string"), "page": F.lit(1)})
+    asked = e.filter("event_type = 'view'").select("event_id", "q", "page", "ts")
+    made = e.filter("event_type = 'click'").select("q", "page", F.col("ts").alias("made"), F.col("event_id").alias("answer"))
+    found = store.cached_results(asked, made, ["q", "page"], "ts", "made", 43_200, "answer")
+    return found.select("event_id", "digest", F.coalesce("cached.answer", F.lit(-1)).alias("answer"), "hit")
+
+
+@query(r"""
+WITH i AS (SELECT DISTINCT 'https://e.org/' || p_brand || p_size AS src FROM part),
+c AS (SELECT 'https://e.org/' || p_brand || p_size AS src, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END AS caption, TIMESTAMP '2024-01-01' + to_hours(p_partkey % 48) AS made FROM part WHERE p_size % 2 = 0),
+l AS (SELECT src, caption, made FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY made DESC, caption DESC) AS n FROM c) WHERE n = 1)
+SELECT src, nullif(caption, '') AS caption, coalesce(caption, '') = '' AND (made IS NULL OR made + INTERVAL 24 HOUR <= TIMESTAMP '2024-01-02 12:00:00') AS to_do FROM i LEFT JOIN l USING (src)""")
+def captions_to_do(spark, d):
+    p = table(spark, d, "part").withColumn("src", F.concat(F.lit("https://e.org/"), "p_brand", F.col("p_size").cast("string")))
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("p_partkey") % 48).cast("int"))
+    known = p.filter("p_size % 2 = 0").select(F.md5("src").alias("src_digest"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_type")).alias("caption"), at.alias("at"))
+    return store.captioned(p, known, F.lit("2024-01-02 12:00:00").cast("timestamp_ntz"))
+
+
+@query(r"""
+SELECT d.doc_id, d.lang, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 0""")
+def hits_with_snapshots(spark, d):
+    return store.with_snapshots(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels"), "doc_id", F.col("toxic") == 0).select("doc_id", "lang", "quality")
+
+
+@query(r"""
+SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders WHERE o_totalprice > 100000 GROUP BY o_custkey""")
+def first_provider(spark, d):
+    asked = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_totalprice")
+    return store.first_answer(asked, "o_custkey", "o_orderkey", F.col("o_totalprice") > 100_000).select("o_custkey", "o_orderpriority")
+
+
+@query(r"""
+SELECT s_suppkey, CASE WHEN s_acctbal <= 2000 THEN 'live' WHEN s_suppkey % 2 = 0 THEN 'local' ELSE 'live' END AS answer, least(greatest(CAST(floor(s_acctbal / 300) AS INTEGER), 0), 20) AS n_pages FROM supplier""")
+def answers_by_deadline(spark, d):
+    answer = store.by_deadline(F.col("s_acctbal"), F.lit("live"), F.when(F.col("s_suppkey") % 2 == 0, "local"), F.lit(2000))
+    return table(spark, d, "supplier").select("s_suppkey", answer.alias("answer"), store.page_limit(F.floor(F.col("s_acctbal") / 300).cast("int")).alias("n_pages"))
+
+
+@query(r"""
+WITH r AS (SELECT user_id, event_id % 4 AS pos, event_id, row_number() OVER (PARTITION BY user_id, event_id % 4 ORDER BY event_id DESC) AS n FROM events)
+SELECT user_id, string_agg(coalesce(CAST(event_id AS VARCHAR), '-'), ',' ORDER BY p) AS items
+FROM (SELECT u.user_id, p, r.event_id FROM (SELECT DISTINCT user_id FROM events) u, unnest([0, 1, 2, 3]) AS t(p) LEFT JOIN r ON r.user_id = u.user_id AND r.pos = p AND r.n = 1) GROUP BY user_id""")
+def lists_so_far(spark, d):
+    """Each list as it stands: the last snapshot of each of its places, a gap where none has come."""
+    rows = table(spark, d, "events").select("user_id", (F.col("event_id") % 4).alias("pos"), "event_id")
+    found = store.lists_so_far(rows, "user_id", "pos", "event_id", 4)
+    return found.select("user_id", F.array_join(F.transform("items", lambda x: F.coalesce(x["event_id"].cast("string"), F.lit("-"))), ",").alias("items"))
+
+
+@query(r"""
+SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN TIMESTAMP '2024-01-01' + to_seconds(s_nationkey + 5) WHEN 1 THEN TIMESTAMP '2024-02-03 04:05:06' END AS again FROM supplier""")
+def retry_after(spark, d):
+    header = F.when(F.col("s_suppkey") % 3 == 0, F.concat((F.col("s_nationkey") + 5).cast("string"), F.lit(" "))).when(F.col("s_suppkey") % 3 == 1, "Sat, 3 Feb 2024 04:05:06 GMT").otherwise("soon")
+    return table(spark, d, "supplier").select("s_suppkey", store.retry_at(header, F.lit("2024-01-01").cast("timestamp")).cast("timestamp_ntz").alias("again"))
+
+
+@query(r"""
+WITH f AS (SELECT s_nationkey, s_suppkey, s_acctbal < 0 OR s_nationkey % 2 = 1 AS held FROM supplier),
+g AS (SELECT *, bool_or(NOT held) OVER (PARTITION BY s_nationkey) AS free FROM f)
+SELECT s_nationkey, s_suppkey FROM g WHERE NOT held OR NOT free""")
+def clients_available(spark, d):
+    """Clients under no blockade; where all of a group are, all of them."""
+    held = (F.col("s_acctbal") < 0) | (F.col("s_nationkey") % 2 == 1)
+    rows = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", F.when(held, F.lit("2024-01-02")).cast("timestamp").alias("until"))
+    return store.available(rows, "s_nationkey", "until", F.lit("2024-01-01").cast("timestamp")).select("s_nationkey", "s_suppkey")
+
+
+@query(r"""
+SELECT conv_id, string_agg(CASE WHEN role = 'system' THEN '[Image]' ELSE text END, chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id""")
+def prompt_as_text(spark, d):
+    return _prompts(spark, d).select("conv_id", chat.prompt_text(F.col("parts")).alias("prompt"))
+
+
+@query(r"""
+WITH m AS (SELECT *, role = 'user' AS pic FROM conversations WHERE role = 'user' OR text != ''),
+b AS (SELECT *, CASE WHEN NOT pic AND coalesce(NOT lag(pic) OVER (PARTITION BY conv_id ORDER BY turn), FALSE) THEN 0 ELSE 1 END AS fresh FROM m),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM b),
+p AS (SELECT conv_id, part, string_agg(text, '' ORDER BY turn) AS value FROM g GROUP BY conv_id, part)
+SELECT conv_id, count(*) AS n_parts, md5(string_agg(value, '|' ORDER BY part)) AS digest FROM p GROUP BY conv_id""")
+def prompt_parts_merged(spark, d):
+    """Neighbouring texts of a prompt as one; here the user's turns stand for pictures."""
+    merged = chat.merged_parts(F.col("parts"))
+    rows = _prompts(spark, d, "user").select("conv_id", merged.alias("parts"))
+    return rows.select("conv_id", F.size("parts").cast("long").alias("n_parts"), F.md5(F.array_join(F.transform("parts", lambda p: p["value"]), "|")).alias("digest"))
+
+
+def _prompts(spark, d, image="system"):
+    part = F.struct(F.when(F.col("role") == image, "image").otherwise("text").alias("kind"), F.col("text").alias("value"))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]).alias("parts"))
+
+
+@query(_STEPS + r"""
+s AS (SELECT user_id, n, event_id, CASE WHEN event_type = 'error' THEN CAST([] AS BIGINT[]) ELSE [ms] END AS kept, event_type != 'error' AS accepted FROM e WHERE n = 1
+  UNION ALL
+  SELECT user_id, n, event_id, CASE WHEN back THEN recent[1:len(recent) - 1] WHEN len(recent) < 3 THEN list_append(recent, ms) ELSE recent END, NOT back AND len(recent) < 3
+  FROM (SELECT e.user_id, e.n, e.event_id, e.ms, e.event_type = 'error' AS back, list_filter(s.kept, lambda t: t + 172800000 > e.ms) AS recent FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+SELECT event_id, accepted FROM s""")
+def rate_limit_refunds(spark, d):
+    """Errors give the latest accepted place back."""
+    rows = table(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("refund"))
+    return state.batch(rows, "user_id", ["ts", "event_id"], state.RateLimit(3, 2 * 86_400_000)).select("event_id", F.col("keep").alias("accepted"))

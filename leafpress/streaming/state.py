@@ -1,6 +1,6 @@
 """Stateful stream operators, each with a batch twin that folds the ordered rows of a key the same way.
 
-A fold is a function (state, row) -> (state, keep). In batch it runs over the rows of a key in order (applyInPandas); in a stream
+A fold is a function (state, row) -> (state, keep). In batch it runs over the sorted rows of a key; in a stream
 the state lives in Spark's state store between micro-batches, with a timeout after the last row of a key.
 """
 
@@ -12,8 +12,10 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 Fold = Callable[[Any, dict], tuple[Any, bool]]
@@ -21,13 +23,16 @@ Fold = Callable[[Any, dict], tuple[Any, bool]]
 
 @dataclass(frozen=True)
 class RateLimit:
-    """At most limit accepted rows in a period; refused rows don't count."""
+    """At most limit accepted rows in a period; refused rows don't count. A row whose refund is true gives the latest accepted
+    place back (and isn't accepted itself): its time no longer counts."""
 
     limit: int
     period_ms: int
 
     def __call__(self, state: list | None, row: dict) -> tuple[list, bool]:
         recent = [t for t in state or [] if t + self.period_ms > row["ms"]]
+        if row.get("refund"):
+            return recent[:-1], False
         return (recent + [row["ms"]], True) if len(recent) < self.limit else (recent, False)
 
 
@@ -82,19 +87,33 @@ class Watchdog:
 
 
 def batch(rows: DataFrame, key: str, order: list[str], fold: Fold, at: str = "ts") -> DataFrame:
-    """rows and keep, by the fold of each key's rows in order."""
-    schema = F.unix_millis(F.col(at).cast("timestamp"))
-    work = rows.withColumn("ms", schema)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        state, keeps = None, []
-        for row in frame.to_dict("records"):
-            state, keep = fold(state, row)
-            keeps.append(keep)
-        return frame.drop(columns="ms").assign(keep=keeps)
-
-    return work.groupBy(key).applyInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", keep boolean")
+    """rows and keep, by the fold of each key's rows in order. Keys are dealt to tasks and sorted there by Spark; the fold passes
+    over the sorted rows batch by batch and holds one key's state alone, however many rows a key has."""
+    work = rows.withColumn("__ms", F.unix_millis(F.col(at).cast("timestamp"))).repartition(F.col(key)).sortWithinPartitions(key, *order)
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, begun = None, None, False
+        for part in batches:
+            keeps = []
+            for row in part.rename_columns(["ms" if c == "__ms" else c for c in part.schema.names]).to_pylist():
+                if not begun or row[key] != last:
+                    last, state, begun = row[key], None, True
+                state, keep = fold(state, row)
+                keeps.append(keep)
+            yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(keeps, pa.bool_())], names=[*names, "keep"])
+
+    return work.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("keep", T.BooleanType())]))
+
+
+def error_alarms(rows: DataFrame, key: str, order: list[str], failed: Column, rule: ErrorRun, at: str = "ts") -> DataFrame:
+    """rows and keep, as batch() gives them for an ErrorRun, by windows alone: a run ends with a success or a long gap."""
+    by = Window.partitionBy(key).orderBy(*order)
+    ms = F.unix_millis(F.col(at).cast("timestamp"))
+    work = rows.withColumns({"__failed": F.coalesce(failed, F.lit(False)), "__gap": F.coalesce(ms - F.lag(ms).over(by) >= rule.retain_ms, F.lit(True))})
+    work = work.withColumn("__run", F.sum((~F.col("__failed") | F.col("__gap") | ~F.lag("__failed").over(by)).cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    n = F.row_number().over(Window.partitionBy(key, "__run").orderBy(*order))
+    return work.withColumn("keep", F.col("__failed") & (n > rule.threshold)).drop("__failed", "__gap", "__run")
 
 
 def stream(rows: DataFrame, key: str, order: list[str], fold: Fold, at: str = "ts", idle: str | None = "1 hour") -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -93,6 +94,7 @@ BASE = datetime(2024, 1, 1)
     ("fold", "times", "extra", "want"),
     [
         (state.RateLimit(2, 1000), [0, 10, 20, 1005, 1012], {}, [True, True, False, True, True]),
+        (state.RateLimit(2, 1000), [0, 10, 20, 30, 40], {"refund": [False, False, True, False, False]}, [True, True, False, True, False]),
         (state.Throttle(1200, 0.05), [0, 100, 200, 1500], {"size": [100, 102, 120, 121]}, [True, False, True, True]),
         (state.ErrorRun(1, 5000), [0, 1, 2, 3, 4, 9000], {"failed": [True, True, False, True, True, True]}, [False, True, False, False, True, False]),
         (state.Watchdog(100, 2), [0, 1, 2, 200, 400, 500], {"what": ["start", "start", "tick", "tick", "tick", "worked"]}, [False, False, False, False, True, False]),
@@ -112,6 +114,23 @@ def test_folds_batch_and_stream(spark, tmp_path, fold, times, extra, want):
     assert sorted((r.i, r.keep) for r in spark.sql(f"SELECT * FROM {name}").collect()) == list(enumerate(want))
 
 
+def test_error_alarms_as_the_fold(spark):
+    r = random.Random(2)
+    rows = spark.createDataFrame([(r.randrange(4), i, BASE + timedelta(milliseconds=i * r.choice([1, 50])), r.random() < 0.7) for i in range(400)], "k int, i int, ts timestamp, failed boolean")
+    rule = state.ErrorRun(2, 300)
+    fold, windows = state.batch(rows, "k", ["ts", "i"], rule), state.error_alarms(rows, "k", ["ts", "i"], F.col("failed"), rule)
+    assert sorted(map(tuple, fold.collect())) == sorted(map(tuple, windows.collect())) and windows.filter("keep").count() > 10
+
+
+def test_folds_keep_keys_apart(spark):
+    """Nulls as a key, a key over many batches, keys of several kinds."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rows = spark.createDataFrame([(k, i, BASE + timedelta(seconds=i)) for i in range(60) for k in ("a", None, "b")], "k string, i int, ts timestamp")
+    got = state.batch(rows, "k", ["ts", "i"], state.RateLimit(3, 10_000)).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {k: [r.i for r in sorted(got, key=lambda r: r.i) if r.k == k and r.keep] for k in ("a", None, "b")} == dict.fromkeys(("a", None, "b"), [i for i in range(60) if i % 10 < 3])
+
+
 def test_error_runs_and_usage(spark):
     e = spark.createDataFrame([(1, 1, True), (1, 2, True), (1, 3, False), (1, 4, True)], "k int, t int, bad boolean")
     assert sorted(tuple(r) for r in cache.error_runs(e, "k", "t", "t", F.col("bad")).select("run_start", "run_end", "n").collect()) == [(1, 2, 2), (4, 4, 1)]

@@ -3,23 +3,23 @@
 import pytest
 
 from leafpress.html.dom import BadSelector, compile_selector, measure, parse, select
-from leafpress.html.markify import Dialect, Images, Markify, clean_attribute
+from leafpress.html.writer import Dialect, Images, Writer, clean_attribute
 from leafpress.html.page import cleaned, describe, inner_text, squeezed, summarised
 from leafpress.options import Options
 
-PAGE = """<!DOCTYPE html><html lang="en"><head><title>Guide: Crawling</title><meta name="description" content="About crawling">
-<meta property="article:published_time" content="2024-01-15T10:00:00Z"><link rel="icon alternate" href="/i.png" sizes="16x16"><style>p{}</style></head><body>
-<nav><a href="/home">Home</a></nav><div class="ads banner"><p>Buy!</p></div>
-<article id="main"><h1>Crawling Guide</h1><p>This is the <strong>main part</strong> and <em>more</em>.</p><h2>Links</h2>
-<p>Here is <a href="https://example.com/a">one</a> and <a href="https://example.org/b" title='say "x"'>two</a>.</p>
-<img src="https://example.com/s.png" alt="A spider"><img src="https://example.com/n.png"><img src="data:image/png;base64,AAAA" alt="Tiny">
-<ul><li>Fetch</li><li>Parse</li></ul><blockquote><p>A graph.</p></blockquote><pre><code class="language-js">let a = 1;
-b();</code></pre><table><thead><tr><th align="left">M</th><th>S</th></tr></thead><tbody><tr><td>x</td><td>y</td></tr></tbody></table><hr><p>See <a href="sib">sib</a>.</p></article>
+PAGE = """<!DOCTYPE html><html lang="pt"><head><title>Tide tables</title><meta name="description" content="Harbour hours">
+<meta property="article:published_time" content="2023-03-02T06:30:00Z"><link rel="icon alternate" href="/t.png" sizes="16x16"><style>p{}</style></head><body>
+<nav><a href="/port">Port</a></nav><div class="ads banner"><p>Boats for hire</p></div>
+<article id="main"><h1>Tides of the bay</h1><p>High water comes <strong>twice a day</strong> and <em>late</em>.</p><h2>Where to look</h2>
+<p>Ask <a href="https://example.com/pilot">the pilot</a> or <a href="https://example.org/sea" title='he says "wait"'>the sea</a>.</p>
+<img src="https://example.com/moon.png" alt="The moon"><img src="https://example.com/buoy.png"><img src="data:image/png;base64,AAAA" alt="Dot">
+<ul><li>Ebb</li><li>Flood</li></ul><blockquote><p>Mind the rocks.</p></blockquote><pre><code class="language-js">let h = 3;
+rise(h);</code></pre><table><thead><tr><th align="left">Hour</th><th>Metres</th></tr></thead><tbody><tr><td>6</td><td>2</td></tr></tbody></table><hr><p>See <a href="map">map</a>.</p></article>
 <script>var x = "</p>";</script></body></html>"""
 
 
 def md(html, base="https://example.com/t/", dialect=None, **kw):
-    return Markify(dialect or Dialect(), base, kw.pop("gfm", True), **kw).convert(parse(html))
+    return Writer(dialect or Dialect(), base, kw.pop("gfm", True), **kw).convert(parse(html))
 
 
 def content(html=PAGE, url="https://example.com/test", **options):
@@ -73,34 +73,34 @@ def test_dialects():
 
 def test_page():
     text = content()["content"]
-    assert text.startswith("# Guide: Crawling\n")
-    assert "[Home](https://example.com/home)" in text and '[two](https://example.org/b "say \\"x\\"")' in text
-    assert "```js\nlet a = 1;\nb();\n```" in text and "| M | S |\n| :-- | --- |\n| x | y |" in text and "* * *" in text
-    assert "[sib](https://example.com/sib)" in text and "> A graph." in text and "var x" not in text
-    assert "![Image 1: A spider](https://example.com/s.png)" in text and "![Image 2](https://example.com/n.png)" in text
-    assert "![Image 3: Tiny](blob:https://example.com/" in text
+    assert text.startswith("# Tide tables\n")
+    assert "[Port](https://example.com/port)" in text and '[the sea](https://example.org/sea "he says \\"wait\\"")' in text
+    assert "```js\nlet h = 3;\nrise(h);\n```" in text and "| Hour | Metres |\n| :-- | --- |\n| 6 | 2 |" in text and "* * *" in text
+    assert "[map](https://example.com/map)" in text and "> Mind the rocks." in text and "var x" not in text
+    assert "![Image 1: The moon](https://example.com/moon.png)" in text and "![Image 2](https://example.com/buoy.png)" in text
+    assert "![Image 3: Dot](blob:https://example.com/" in text
     assert "data:image/png" in content(keep_img_data_url=True)["content"]
 
 
-@pytest.mark.parametrize(("mode", "has", "lacks"), [("none", [], ["Image", "spider.png"]), ("alt", ["(Image 1: A spider)"], ["s.png", "n.png"]), ("alt_p", ["(Image 1: A spider)", "(Image 3: Tiny)"], ["s.png"]), ("all_p", ["![Image 1: A spider]("], [])])
+@pytest.mark.parametrize(("mode", "has", "lacks"), [("none", [], ["Image", "moon.png"]), ("alt", ["(Image 1: The moon)"], ["moon.png", "buoy.png"]), ("alt_p", ["(Image 1: The moon)", "(Image 3: Dot)"], ["moon.png"]), ("all_p", ["![Image 1: The moon]("], [])])
 def test_images(mode, has, lacks):
     text = content(retain_images=mode)["content"]
     assert all(x in text for x in has) and not any(x in text for x in lacks)
 
 
 def test_links():
-    assert "Home" not in content(retain_links="none")["content"]
-    assert "example.org" not in content(retain_links="text")["content"] and "two" in content(retain_links="text")["content"]
+    assert "Port" not in content(retain_links="none")["content"]
+    assert "example.org" not in content(retain_links="text")["content"] and "the sea" in content(retain_links="text")["content"]
     cited = content(retain_links="gpt-oss", with_links_summary="gpt-oss")
-    assert "【3†two†example.org】" in cited["content"] and "【2†one】" in cited["content"]
-    assert ("3", "https://example.org/b") in cited["link_list"]
-    assert content()["image_list"][0] == ("Image 1: A spider", "https://example.com/s.png")
+    assert "\u30103\u2020the sea\u2020example.org\u3011" in cited["content"] and "\u30102\u2020the pilot\u3011" in cited["content"]
+    assert ("3", "https://example.org/sea") in cited["link_list"]
+    assert content()["image_list"][0] == ("Image 1: The moon", "https://example.com/moon.png")
 
 
 def test_selectors():
     only = content(target_selector=("#main",))["content"]
-    assert "Crawling Guide" in only and "Home" not in only
-    assert "Buy" not in content(remove_selector=(".ads",))["content"]
+    assert "Tides of the bay" in only and "Port" not in only
+    assert "Boats" not in content(remove_selector=(".ads",))["content"]
     assert content(target_selector=(".absent",))["error"]
     root = parse("<div id=a class='x y'><p data-k='v1'>1</p><p>2</p><span><p>3</p></span></div>")
     count = lambda s: len(select(root, s))
@@ -124,9 +124,9 @@ def test_unclosed_and_truncated():
 
 def test_head():
     out = describe(PAGE, "https://example.com/test", Options(), frozenset({"title", "description", "published_time", "metadata", "external", "imgs"}))
-    assert (out["title"], out["description"], out["published_time"]) == ("Guide: Crawling", "About crawling", "2024-01-15T10:00:00Z")
-    assert out["metadata"]["lang"] == ["en"] and out["external"]["icon"] == {"https://example.com/i.png": {"sizes": "16x16"}}
-    assert [i["alt"] for i in out["imgs"]] == ["A spider", "", "Tiny"]
+    assert (out["title"], out["description"], out["published_time"]) == ("Tide tables", "Harbour hours", "2023-03-02T06:30:00Z")
+    assert out["metadata"]["lang"] == ["pt"] and out["external"]["icon"] == {"https://example.com/t.png": {"sizes": "16x16"}}
+    assert [i["alt"] for i in out["imgs"]] == ["The moon", "", "Dot"]
 
 
 def test_helpers():
