@@ -38,6 +38,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _HTML = r"regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"
 
 
+def _decoded(x: str) -> str:
+    return f"""trim(replace(replace(replace(replace({x}, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'))"""
+
+
+#: The synthetic pages have one shape, so that SQL can name their parts: a title, a list of links, an advertisement, an article of
+#: a heading and paragraphs (some begin with bold text that is never closed), and a footer.
+_PARTS = rf"""
+WITH raw AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin, regexp_replace(html, '\s+', ' ', 'g') AS h FROM pages),
+seen AS (SELECT page_id, url, origin, {_decoded("regexp_extract(h, '<title>([^<]*)</title>', 1)")} AS title, {_decoded("regexp_extract(h, '<div class=.ad.>([^<]*)</div>', 1)")} AS ad,
+  {_decoded("regexp_extract(h, '<h1>([^<]*)</h1>', 1)")} AS h1, {_decoded("regexp_extract(h, '<footer>([^<]*)', 1)")} AS foot, regexp_extract(h, '</h1>(.*)</article>', 1) AS body,
+  list_transform(regexp_extract_all(h, '<a href="([^"]*)">', 1), lambda x: origin || array_to_string(list_transform(string_split({_decoded("x")}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE url_encode(c) END), '')) AS hrefs,
+  list_transform(regexp_extract_all(h, '<a href="[^"]*">([^<]*)</a>', 1), lambda x: {_decoded("x")}) AS texts FROM raw),
+parts AS (SELECT *, CAST(len(body) - len(replace(body, '<b>', 'xx')) AS INTEGER) AS bold, range(1, len(hrefs) + 1) AS places,
+  list_filter(list_transform(string_split(replace(replace(body, '<br>', ''), '</p>', ''), '<p>'), lambda x: {_decoded("x")}), lambda x: x != '') AS paras FROM seen),
+page AS (SELECT *, array_to_string(list_transform(paras, lambda x: replace(x, '<b>', '**')), chr(10) || chr(10)) || repeat('**', bold) AS article FROM parts)
+"""
+_REST = "chr(10) || chr(10) || ad || chr(10) || chr(10) || '# ' || h1 || chr(10) || chr(10) || article || chr(10) || chr(10) || foot"
+_MARKDOWN = rf"'# ' || title || chr(10) || chr(10) || array_to_string(list_transform(places, lambda i: '*   [' || texts[i] || '](' || hrefs[i] || ')'), chr(10)) || {_REST}"
+
+
 @query(r"""
 SELECT regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, count(*) AS n_pages,
        CAST(sum(len(regexp_extract_all(html, '<a href="[^"]*">'))) AS BIGINT) AS n_links,
@@ -87,12 +107,14 @@ def element_stats(spark, d):
     return pages.parse_pages(table(spark, d, "pages"), ["n_elements"]).select("page_id", "n_elements")
 
 
-@query()
+@query(_PARTS + f"""
+SELECT page_id, title, {_MARKDOWN} AS content FROM page""")
 def page_markdown(spark, d):
     return pages.parse_pages(table(spark, d, "pages"), ["title", "content"]).select("page_id", "title", "content")
 
 
-@query()
+@query(_PARTS + """
+SELECT page_id, title || chr(10) || array_to_string(list_concat(texts, [ad, h1], list_transform(paras, lambda x: replace(x, '<b>', '')), [foot]), chr(10)) AS text, CAST(greatest(6, 4 + 2 * bold) AS INTEGER) AS max_depth FROM page""")
 def page_text(spark, d):
     return pages.parse_pages(table(spark, d, "pages"), ["text", "max_depth"]).select("page_id", "text", "max_depth")
 
@@ -104,7 +126,9 @@ def page_text_links_only(spark, d):
     return pages.parse_pages(table(spark, d, "pages"), ["content"], o).select("page_id", "content")
 
 
-@query()
+@query(_PARTS + f"""
+SELECT page_id, '# ' || title || chr(10) || chr(10) || array_to_string(list_transform(places, lambda i: '*   [' || texts[i] || '][' || i || ']'), chr(10)) || {_REST}
+  || chr(10) || chr(10) || array_to_string(list_transform(places, lambda i: '[' || i || ']: ' || hrefs[i]), chr(10)) AS content FROM page""")
 def page_references(spark, d):
     o = Options(respond_with="markdown", markdown=Dialect(link_style="referenced", link_reference_style="full"))
     return pages.parse_pages(table(spark, d, "pages"), ["content"], o).select("page_id", "content")
@@ -116,7 +140,8 @@ def page_citations(spark, d):
     return pages.parse_pages(table(spark, d, "pages"), ["content", "link_list"], o).select("page_id", "content", "link_list")
 
 
-@query()
+@query(_PARTS + """
+SELECT page_id, '# ' || h1 || chr(10) || chr(10) || article AS content, CAST(NULL AS VARCHAR) AS error FROM page""")
 def page_article(spark, d):
     """The article alone, without its first paragraph's siblings that are advertisements."""
     o = Options(respond_with="markdown", target_selector=("article",), remove_selector=("div.ad", "nav"))
@@ -129,7 +154,13 @@ def page_chunks(spark, d):
     return rows.select("page_id", F.posexplode(markdown.chunks(F.col("content"), F.col("title"), contextual=True)).alias("pos", "chunk"))
 
 
-@query()
+@query(_PARTS + f""",
+each AS (SELECT page_id, i, texts[i] AS t, hrefs[i] AS u FROM page, unnest(places) AS x(i)),
+firsts AS (SELECT page_id, u, min(i) AS i, arg_min(t, i) AS t FROM each GROUP BY page_id, u),
+links AS (SELECT page_id, t, min(i) AS place, arg_max(u, i) AS u FROM firsts GROUP BY page_id, t),
+listed AS (SELECT page_id, string_agg('- [' || t || '](' || u || ')', chr(10) ORDER BY place) AS links FROM links GROUP BY page_id)
+SELECT page_id, 'Title: ' || title || chr(10) || chr(10) || 'URL Source: ' || url || chr(10) || chr(10) || 'Markdown Content:' || chr(10) || {_MARKDOWN} || chr(10) || chr(10) || 'Links/Buttons:' || chr(10) || links || chr(10) AS answer
+FROM page JOIN listed USING (page_id)""")
 def page_answer(spark, d):
     """The text answer of every page, with its links and warnings."""
     rows = pages.parse_pages(table(spark, d, "pages"), ["title", "content", "link_list", "captcha"])
@@ -806,3 +837,9 @@ def rate_limit_refunds(spark, d):
     """Errors give the latest accepted place back."""
     rows = table(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("refund"))
     return state.batch(rows, "user_id", ["ts", "event_id"], state.RateLimit(3, 2 * 86_400_000)).select("event_id", F.col("keep").alias("accepted"))
+
+
+@query()
+def page_main_content(spark, d):
+    """The main content by text density, where it has three tenths of the page's markdown."""
+    return pages.parse_pages(table(spark, d, "pages"), ["content"], Options(main_content=True)).select("page_id", "content")
