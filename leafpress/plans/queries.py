@@ -119,7 +119,9 @@ def page_text(spark, d):
     return pages.parse_pages(table(spark, d, "pages"), ["text", "max_depth"]).select("page_id", "text", "max_depth")
 
 
-@query()
+@query(_PARTS + """
+SELECT page_id, title || chr(10) || repeat('=', 15) || chr(10) || chr(10) || array_to_string(list_transform(texts, lambda t: '-   ' || t), chr(10)) || chr(10) || chr(10) || ad || chr(10) || chr(10)
+  || h1 || chr(10) || repeat('=', length(h1)) || chr(10) || chr(10) || article || chr(10) || chr(10) || foot AS content FROM page""")
 def page_text_links_only(spark, d):
     """Anchors as their text, underlined headings, another bullet."""
     o = Options(respond_with="markdown", retain_links="text", markdown=Dialect(heading_style="setext", bullet_list_marker="-"))
@@ -148,7 +150,9 @@ def page_article(spark, d):
     return pages.parse_pages(table(spark, d, "pages"), ["content", "error"], o).select("page_id", "content", "error")
 
 
-@query()
+@query(_PARTS + """
+SELECT page_id, 0 AS pos, '# ' || title || chr(10) || chr(10) || array_to_string(list_transform(places, lambda i: '*   [' || texts[i] || '](' || hrefs[i] || ')'), chr(10)) || chr(10) || chr(10) || ad AS chunk FROM page
+UNION ALL SELECT page_id, 1, '# ' || h1 || chr(10) || chr(10) || article || chr(10) || chr(10) || foot FROM page""")
 def page_chunks(spark, d):
     rows = pages.parse_pages(table(spark, d, "pages"), ["title", "content"])
     return rows.select("page_id", F.posexplode(markdown.chunks(F.col("content"), F.col("title"), contextual=True)).alias("pos", "chunk"))
@@ -650,7 +654,8 @@ def hits_filled(spark, d):
     return filled.select("doc_id", "lang", ok.alias("ok"))
 
 
-@query()
+@query(_PARTS + """
+SELECT page_id, '# ' || title || chr(10) || chr(10) || ad || chr(10) || chr(10) || '# ' || h1 || chr(10) || chr(10) || upper(replace(article, 'ß', 'SS')) || chr(10) || chr(10) || foot AS content FROM page""")
 def page_own_rule(spark, d):
     """Paragraphs with a rule of their own after the built-in one."""
     o = Options(respond_with="markdown", retain_links="none")
