@@ -5,6 +5,9 @@ and a distributed prefix sum of their word counts (totals of the ranges, then ru
 document its place on the source's word axis. A source whose budget is b words of s gives b div s whole epochs and, of one
 more epoch, exactly the words whose place is below b mod s; the document at the cut gives its first words.
 
+Targets take one row a source, which stand in one order in one task: sources are kinds of text, not hosts. The ranges of a source
+are summed up in one task, a row each for about RANGE_ROWS documents.
+
 Null texts have no words, null sources are one source that comes last, null ids are allowed. Equal rows get neighbouring
 places. An empty table gives an empty result. Columns of the input stay,
 whatever their names; only those named as an output are replaced.
@@ -24,6 +27,7 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Key ranges of a source hold about so many documents at most.
 RANGE_ROWS = 16384
+OUTPUTS = ["mix_size", "mix_source_size", "mix_target", "mix_taken"]
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
@@ -37,8 +41,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digits = max(2, math.ceil(math.log(max(rows, 1) / RANGE_ROWS, 16))) if rows else 2
     group = F.when(F.col(source_col).isNull(), F.lit("z")).otherwise(F.concat(F.lit("s"), F.col(source_col)))
     key = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 15)
-    outputs = ["mix_size", "mix_source_size", "mix_target", "mix_taken"]
-    keyed = sealed(docs, {"mix_size": n_words(F.col(text_col)), "__group": group, "__key": key, "__id": F.col(id_col), "__text": F.col(text_col)}, outputs).withColumn("__range", F.substring("__key", 1, digits))
+    keyed = sealed(docs, {"mix_size": n_words(F.col(text_col)), "__group": group, "__key": key, "__id": F.col(id_col), "__text": F.col(text_col)}, OUTPUTS).withColumn("__range", F.substring("__key", 1, digits))
 
     ranges = cut(keyed.groupBy("__group", "__range").agg(F.sum("mix_size").alias("__words")))
     places = ranges.withColumn("__before", F.coalesce(F.sum("__words").over(Window.partitionBy("__group").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__words")
@@ -50,7 +53,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     epochs = F.expr("floor(mix_target) div mix_source_size")
     part = F.greatest(F.lit(0), F.least(F.col("mix_size"), budget - epochs * F.col("mix_source_size") - place))
     taken = F.when(F.col("mix_source_size") > 0, epochs * F.col("mix_size") + part).otherwise(F.lit(0)).cast("long")
-    return keyed.join(placed, ["__group", "__range"]).withColumn("mix_taken", taken).transform(unsealed, *map(F.col, outputs))
+    return keyed.join(placed, ["__group", "__range"]).withColumn("mix_taken", taken).transform(unsealed, *map(F.col, OUTPUTS))
 
 
 def _targets(ranges: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFrame:
@@ -72,15 +75,18 @@ def _targets(ranges: DataFrame, weights: Sequence[int], max_epochs: int) -> Data
 
 def draw(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of the mix: a document as often as it is taken whole, then its first words if the cut lies in it.
-    mixed: from mix_sources; its mix_ columns go. Documents without words are never taken."""
-    keep = [c for c in mixed.columns if not c.startswith("mix_")]
+    mixed: from mix_sources; its four columns go, others stay whatever their names. Documents without words are never taken."""
     whole, rest = F.expr("mix_taken div mix_size"), F.expr("mix_taken % mix_size")
-    copies = F.when(F.col("mix_size") > 0, F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))).otherwise(F.array().cast("array<long>"))
-    drawn = mixed.withColumn("__words", F.explode(copies))
-    first = F.regexp_extract(F.col(text_col), r"^[\x20\x09-\x0D]*", 0)
-    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1), 1, F.greatest(F.col("__words"), F.lit(0)).cast("int"))
-    text = F.when(F.col("__words") < 0, F.col(text_col)).otherwise(F.concat(first, F.array_join(words, "")))
-    return drawn.withColumn(text_col, text).select(*keep)
+    none = F.array().cast("array<long>")
+    copies = F.when(F.col("mix_size") > 0, F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(none))).otherwise(none)
+    columns = [c for c in mixed.columns if c not in OUTPUTS]
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row")
+    drawn = mixed.select(row, F.explode(copies).alias("__take"))
+    text = F.col("__row").getField(text_col)
+    first = F.regexp_extract(text, r"^[\x20\x09-\x0D]*", 0)
+    words = F.slice(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1), 1, F.greatest(F.col("__take"), F.lit(0)).cast("int"))
+    taken = F.when(F.col("__take") < 0, text).otherwise(F.concat(first, F.array_join(words, "")))
+    return drawn.select(*[(taken if c == text_col else F.col("__row").getField(c)).alias(c) for c in columns])
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
