@@ -12,7 +12,8 @@ The fit reads at most FIT_DOCS labelled documents, those with the least hash of
 that what goes to every worker is bounded. Scoring covers all texts, whole. Null and empty texts have no segment and get the
 score of no evidence. Null labels and labels without a document aren't used; of several labels of an id the larger holds.
 With no toxic or no clean training document, nothing scores above 0.
-Other columns stay; only those named as an output are replaced. Repeated rows get equal results.
+Texts of any length are scanned whole in one pass, in memory that grows with their toxic words alone. Other columns stay; only those
+named as an output are replaced. Repeated rows get equal results. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -101,7 +102,7 @@ def evidence(found: list[tuple[int, int, float]], n: int, model: Model) -> float
         e = math.log(model.k * n) - model.lam * s
         if e < math.log(SIGNIFICANT):
             total -= e
-    return min(total, 500.0)
+    return total
 
 
 def _fold(id_col: str) -> Column:
@@ -166,10 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = Model(scores, lam, ((clean[0] or 0) + 0.5) / ((clean[1] or 0) + 1.0))
     log_e = lambda x: F.log(F.lit(model.k) * F.col("n")) - x["score"] * model.lam
     strength = F.aggregate(F.filter("found", lambda x: log_e(x) < math.log(SIGNIFICANT)), F.lit(0.0), lambda a, x: a - log_e(x))
-    # A table of at most 2 * 1001 rows.
-    bins = scanned.select("y", F.round(F.least(strength, F.lit(500.0)) * 2).cast("int").alias("bin")).groupBy("y", "bin").count().collect()
-    x, y, w = (np.array(v, float) for v in zip(*[(r["bin"] / 2, float(r.y == 1), r["count"]) for r in bins], strict=True))
-    slope, base = _logistic(np.log1p(x), y, w)
+    # The logarithm of a strength is below 40, so these are 2 * 8001 rows at most.
+    bins = scanned.select("y", F.round(F.log1p(strength) * 200).cast("int").alias("bin")).groupBy("y", "bin").count().collect()
+    x, y, w = (np.array(v, float) for v in zip(*[(r["bin"] / 200, float(r.y == 1), r["count"]) for r in bins], strict=True))
+    slope, base = _logistic(x, y, w)
     return Model(scores, lam, model.k, slope, base)
 
 
