@@ -11,7 +11,9 @@ an array of code point spans of the window's text.
 
 Prefix sums run in blocks of BLOCK turn numbers, then over the blocks, so that a conversation of any length never has to pass
 through one task row by row. Null texts and roles count as empty. Turns are in order of turn (null last), then role and text;
-repeated turns stay. Null conversation ids are one conversation. An empty table gives no window. Other columns are not read.
+repeated turns stay. Null conversation ids are one conversation. A turn
+is never cut: one that is longer than the room is a window of its own, whole. An empty table gives no window. Other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -84,8 +86,10 @@ def format_chats(turns: DataFrame, room: int = ROOM, history: int = HISTORY, con
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,length:int>>").alias("loss")),
         lambda acc, p: F.struct((acc["at"] + F.char_length(p["piece"])).alias("at"), F.when(p["target"], F.array_append(acc["loss"], F.struct((acc["at"] + p["head"]).alias("first"), p["body"].alias("length")))).otherwise(acc["loss"]).alias("loss")),
     )
-    numbered = windows.withColumns({"at": F.element_at(F.filter("parts", lambda p: p["own"]), 1)["place"], "loss": sized["loss"]})
-    return numbered.select(F.col("conv").alias(conv_col), (F.row_number().over(Window.partitionBy("conv").orderBy("at")) - 1).alias("window"), F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("text"), F.size("parts").alias("n_turns"), F.size(F.filter("parts", lambda p: ~p["own"])).alias("n_context"), "loss")
+    # Windows are numbered by their keys alone; the texts join them afterwards.
+    numbers = spans.select(F.col("conv").alias("c"), F.col("span").alias("s"), (F.row_number().over(Window.partitionBy("conv").orderBy("first")) - 1).alias("window"))
+    numbered = windows.withColumn("loss", sized["loss"]).join(numbers, F.col("conv").eqNullSafe(F.col("c")) & (F.col("span") == F.col("s")))
+    return numbered.select(F.col("conv").alias(conv_col), "window", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("text"), F.size("parts").alias("n_turns"), F.size(F.filter("parts", lambda p: ~p["own"])).alias("n_context"), "loss")
 
 
 def read_turns(windows: DataFrame) -> DataFrame:
