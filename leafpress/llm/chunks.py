@@ -7,7 +7,9 @@ alike as the weight they share against the lighter of the two.
 
 Null and empty texts have the empty fingerprint, which is like itself (1) and unlike any other (0). Equal texts have equal
 fingerprints. For neighbours, documents are ordered by descending id, then by a hash of the text; null ids come last; the first
-follows the last, and a lone document follows itself. Repeated rows follow each other. An empty table gives an empty result.
+follows the last, and a lone document follows itself. Repeated rows follow each other. Ids are whole numbers. Texts
+of any length are chunked whole; a task holds a few hundred rows and their successors at a time. Columns other than the id and the
+text aren't read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -555,3 +555,116 @@ def test_logistic():
         lost = lambda a, b: (w * (np.logaddexp(0, a * x + b) - y * (a * x + b))).sum() + 0.05 * a * a + 0.0005 * b * b
         assert slope > 0 and all(lost(slope, base) <= lost(slope + d, base + e) + 1e-6 for d in (-0.01, 0, 0.01) for e in (-0.01, 0, 0.01))
         assert ((slope * x + base >= 0) == (x >= 2)).all()
+
+
+# Queries against SQL and against versions written by hand
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    rows = lambda f: sorted(repr(tuple(round(x, 6) if isinstance(x, float) else x for x in r)) for r in f[sorted(f.columns)].astype(object).itertuples(index=False))
+    assert rows(queries.QUERIES[name](spark, sf).toPandas()) == rows(con.execute(queries.ORACLES[name]).fetchdf())
+
+
+def chunks_by_hand(data):
+    """Digest to bytes: each byte's hash is the sum of the last 16 bytes' numbers, each shifted by its age, in 32 bits."""
+    out, start = {}, 0
+    while start < len(data):
+        end = len(data)
+        for n in range(1, min(192, len(data) - start) + 1):
+            here = start + n - 1
+            h = sum(xxhash.xxh32_intdigest(data[here - k : here - k + 1], 7) << k for k in range(16) if here - k >= 0) & 0xFFFFFFFF
+            if n == 192 or n >= 16 and (h >> 16 & 0x7F if n < 48 else h >> 16 & 0x0F) == 0:
+                end = start + n
+                break
+        key = xxhash.xxh64_hexdigest(data[start:end])
+        out[key] = out.get(key, 0) + end - start
+        start = end
+    return out
+
+
+def test_chunk_query_by_hand(spark, docs, tmp_path):
+    few = docs.sort_values("n_chars")[["doc_id", "text"]].head(12)
+    rows = [*few.itertuples(index=False, name=None), (900_001, ""), (900_002, None), (900_003, few.text.iloc[3]), (900_004, "é" * 100)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in chunks.op8_chunk_fingerprints(spark, str(tmp_path)).collect()}
+    down = sorted(rows, key=lambda r: -r[0])
+    shown = lambda f: " ".join(f"{k}:{n}" for k, n in f.items())
+    like = lambda a, b: sum(min(n, b[k]) for k, n in a.items() if k in b) / min(sum(a.values()), sum(b.values())) if a and b else float(not a and not b)
+    assert len(got) == len(rows)
+    for k, (i, text) in enumerate(down):
+        text, after = text or "", down[(k + 1) % len(down)][1] or ""
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        own, new, other = (chunks_by_hand(x.encode()) for x in (text, edited, after))
+        assert (got[i].n_chars, got[i].edited_sha256, got[i].fingerprint, got[i].edited_fingerprint) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), shown(own), shown(new))
+        assert abs(got[i].near_edited - like(own, new)) < 1e-12 and abs(got[i].near_next - like(own, other)) < 1e-12
+
+
+def test_toxic_query_by_hand(spark, tmp_path):
+    """Word scores, segments by the definition, expectations and the curve, without the operator's code."""
+    import math
+    import re
+
+    r = random.Random(21)
+    clean, bad = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("nt", "ld")], ["vilest", "vilely", "rotten", "scumbag"]
+    texts = []
+    for i in range(300):
+        words = [r.choice(clean) for _ in range(r.randint(0, 25))]
+        toxic = int(i % 3 == 0)
+        for _ in range(r.randint(2, 6) if toxic else int(r.random() < 0.1)):
+            words.insert(r.randint(0, len(words)), r.choice(bad))
+        texts.append((i, " ".join(words), toxic))
+    spark.createDataFrame([(i, t) for i, t, _ in texts] + [(1000, None), (1001, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {x.doc_id: x for x in toxicity.op7_toxic_segments(spark, str(tmp_path)).collect()}
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    train = [(t, y) for i, t, y in texts if not held(i)]
+    forms = lambda w: [w, *(w[:k] + "-" for k in (4, 5, 6, 7) if len(w) > k)]
+    counts = {1: {}, 0: {}}
+    for t, y in train:
+        own = {}
+        for w in re.findall("[a-z]+", t.lower()):
+            for f in forms(w):
+                own[f] = own.get(f, 0) + 1
+        for f, n in own.items():
+            counts[y][f] = counts[y].get(f, 0) + min(n, 8)
+    n_t, n_c = sum(counts[1].values()), sum(counts[0].values())
+    scores, share = {}, {}
+    for f in {*counts[0], *counts[1]}:
+        t, c = counts[1].get(f, 0), counts[0].get(f, 0)
+        a = 0.02 * (t + c)
+        every = 0.02 * (n_t + n_c)
+        delta = math.log((t + a) / (n_t + every - t - a)) - math.log((c + a) / (n_c + every - c - a))
+        if delta / math.sqrt(1 / (t + a) + 1 / (c + a)) >= 5 and delta > 0.5:
+            scores[f], share[f] = delta, max(c, 0.5) / n_c / 5
+    assert scores
+    low, high = 1e-6, 50.0
+    for _ in range(200):
+        lam = (low + high) / 2
+        low, high = (lam, high) if sum(p * math.exp(min(lam * scores[f], 700)) for f, p in share.items()) + (1 - sum(share.values())) * math.exp(-lam / 2) < 1 else (low, lam)
+
+    def found(text):
+        words = [max((scores.get(f, 0.0) for f in forms(w)), default=0.0) or -0.5 for w in re.findall("[a-z]+", (text or "").lower())]
+        return [s for _, _, s in brute_segments(words)], len(words)
+
+    clean_found = [found(t) for t, y in train if y != 1]
+    k = (sum(len(s) for s, _ in clean_found) + 0.5) / (sum(n for _, n in clean_found) + 1.0)
+    proof = lambda s, n: sum(-e for e in (math.log(k * n) - lam * x for x in s) if e < math.log(0.5))
+    slope, base = toxicity._logistic(np.array([round(math.log1p(proof(*found(t))) * 200) / 200 for t, _ in train]), np.array([float(y) for _, y in train]), np.ones(len(train)))
+    for i, t, _ in [*texts, (1000, None, 0), (1001, "", 0)]:
+        want = 1 / (1 + math.exp(-max(-30, min(30, slope * math.log1p(proof(*found(t))) + base))))
+        assert got[i].held_out == held(i) and abs(got[i].score - want) < 1e-6 and got[i].predicted == int(got[i].score >= 0.5)
+
+
+def test_drawing_keeps_other_columns(spark):
+    rows = spark.createDataFrame([(i, f"w{i} " * 5, "a", "keep", 7) for i in range(4)], "doc_id long, text string, source string, mix_note string, __words int")
+    drawn = mixing.draw(mixing.mix_sources(rows))
+    assert drawn.columns == rows.columns and {(r.mix_note, r["__words"]) for r in drawn.collect()} == {("keep", 7)}
