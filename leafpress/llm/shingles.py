@@ -11,9 +11,10 @@ shared shingles are at least LIKE of all of theirs. Candidates come in two steps
   which links are found. By their sizes and the places of the key most candidates are ruled out, and by sketches nearly all others:
   bits that a set's shingles flip in turn, of which two sets differ in no more than they have shingles of their own.
 
-Texts with equal sets are one row throughout. Where more than CROWD sets share a key, each is compared with the least first; then
-only sets that no link has joined so far are compared with each other. So a large group of near copies makes no square of pairs,
-and no link that would join two groups is lost.
+Texts with equal sets are one row throughout. Where more than CROWD sets share a key, each is compared with the least first. Of
+those that no link has joined so far, sets that have the same shingles in common with others, and differ in what they alone have,
+are led by the one with the fewest of its own; each set is compared with the leaders of its key. So neither a large group of near
+copies nor a passage in many texts makes a square of pairs, and no link that would join two groups is lost.
 
 Null and empty texts have the empty set, which links only to itself. Null ids take part and count as larger than any other. Equal
 rows count once, texts of any length are taken whole, other columns stay whatever their names, an empty table stays empty.
@@ -112,9 +113,7 @@ def _verified(keep: Scratch, step: str, pairs: DataFrame, sets: DataFrame, docs:
     apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     pairs = keep.table(pairs.filter(apart <= F.lit((1 - like) / (1 + like)) * (F.col("n_a") + F.col("n_b")) + 1e-6).select("a", "b"), f"pairs-{step}")
     asked = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    asked = sets.join(asked, "sid").select("sid", F.col("least.id").alias("i"), F.col("least.content").alias("c"))
-    texts = docs.join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("content") == F.col("c"))).select("sid", "text").dropDuplicates(["sid"])
-    whole = keep.table(_mapped(texts, lambda s: (s.view(np.int64),), "s array<long>", words), f"sets-{step}")
+    whole = keep.table(_mapped(_texts(sets, asked, docs), lambda s: (s.view(np.int64),), "s array<long>", words), f"sets-{step}")
     both = pairs.join(whole.select(F.col("sid").alias("a"), F.col("s").alias("x")), "a").join(whole.select(F.col("sid").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     linked = keep.table(both.filter(shared >= F.lit(like) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), f"linked-{step}")
@@ -139,6 +138,33 @@ def _near_prints(sets: DataFrame) -> DataFrame:
     return equal.unionByName(near.join(firsts[0], "x").join(firsts[1], "y").select(F.least("of_x", "of_y").alias("a"), F.greatest("of_x", "of_y").alias("b")))
 
 
+def _texts(sets: DataFrame, asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """(sid, text) of one document of each set in asked."""
+    first = sets.join(asked, "sid").select("sid", F.col("least.id").alias("i"), F.col("least.content").alias("c"))
+    return docs.join(first, F.col("id").eqNullSafe(F.col("i")) & (F.col("content") == F.col("c"))).select("sid", "text").dropDuplicates(["sid"])
+
+
+def _cores(keep: Scratch, rows: DataFrame, sets: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(sid, core, own) of the sets in rows: a digest of the shingles that another of these sets has too, and the number of those
+    that none has."""
+    texts = _texts(sets, rows.select("sid").distinct(), docs)
+    each = keep.table(_mapped(texts, lambda s: (s.view(np.int64),), "s array<long>", words).select("sid", F.explode("s").alias("s")), "each")
+    digest = lambda name: [F.bit_xor("s").alias(f"{name}1"), F.bit_xor(F.xxhash64("s")).alias(f"{name}2")]
+    alone = each.groupBy("s").agg(F.count("*").alias("k"), F.min("sid").alias("sid")).filter("k = 1").groupBy("sid").agg(F.count("*").alias("own"), *digest("p"))
+    both = each.groupBy("sid").agg(*digest("t")).join(alone, "sid", "left")
+    none = F.lit(0).cast("long")
+    return both.select("sid", F.struct(*[F.col(f"t{i}").bitwiseXOR(F.coalesce(f"p{i}", none)) for i in (1, 2)]).alias("core"), F.coalesce("own", none).alias("own"))
+
+
+def _with_firsts(rows: DataFrame, like: float) -> DataFrame:
+    """Pairs (a, b) that connect all sets of a key that link: each set with the set of each core of the key that has the fewest
+    shingles of its own. Shingles that no other set has are in no intersection, so of two cores whose sets link these two sets
+    link with each other and with the sets of the other core; of one core all that link at all link with its one."""
+    firsts = rows.groupBy("key", "core").agg(F.min(F.struct("own", "sid", "n", "root")).alias("f")).select("key", F.col("f.sid").alias("sid_b"), F.col("f.n").alias("n_b"), F.col("f.root").alias("root_b"))
+    near = rows.join(firsts, "key").filter((F.col("root") != F.col("root_b")) & (F.least("n", "n_b") >= F.lit(like) * F.greatest("n", "n_b") - 1e-9))
+    return near.select(F.least("sid", "sid_b").alias("a"), F.greatest("sid", "sid_b").alias("b"))
+
+
 def _leasts(docs: DataFrame, like: float, words: int, crowd: int) -> DataFrame:
     """docs: id, text, content. (sid, least, root): each set, its first document and the least set that links reach from it."""
     keep = Scratch(docs.sparkSession, "shingles")
@@ -169,11 +195,10 @@ def _leasts(docs: DataFrame, like: float, words: int, crowd: int) -> DataFrame:
     # Only keys whose sets are in several groups are left.
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
     rooted = keep.table(rooted.join(open_keys, "key"), "rooted")
-    rest = _met(rooted, rooted, like).filter("root != root_b").select(F.col("sid").alias("a"), F.col("sid_b").alias("b"))
-    more = _verified(keep, "rest", rest, sets, docs, like, words)
+    more = _verified(keep, "rest", _with_firsts(rooted.join(_cores(keep, rooted, sets, docs, words), "sid"), like), sets, docs, like, words)
     if not more.isEmpty():
         roots = keep.table(components(links.unionByName(more)), "all-roots")
-    keep.drop("shared", "rooted", "joined")
+    keep.drop("shared", "rooted", "joined", "each")
     return sets.select("sid", "least").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
 
