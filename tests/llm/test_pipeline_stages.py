@@ -38,8 +38,8 @@ def test_mix(spark):
     rows = drawn.collect()
     assert drawn.columns == docs.columns and all(x.n_chars == len(x.text) for x in rows)
     words = {s: sum(len(x.text.split()) for x in rows if x.source == s) for s in "ab"}
-    # 200 words by 5 to 2; b has 20 and stops at three times that.
-    assert words == {"a": 143, "b": 57}
+    # 200 words by 5 to 2, each in whole words.
+    assert words == {"a": 200 * 5 // 7, "b": 200 * 2 // 7}
 
 
 def test_encoding(spark):
