@@ -65,10 +65,3 @@ def test_odd(spark, odd, empty):
     kept = shingles.keep_one(odd)
     assert kept.columns == odd.columns
     assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [1, 3, 5, 6, None]
-
-
-def test_a_passage_in_many_texts_makes_no_square(spark):
-    """A thousand texts of one passage and a few words of their own: as many pairs as texts, and every link holds."""
-    table = spark.createDataFrame([(f"{'ab'[i % 2]}", i, 40 + i % 7, i, (1, i % 2), i % 7) for i in range(1000)], "key string, sid long, n int, root long, core struct<x:int,y:int>, own int")
-    pairs = shingles._with_firsts(table, 0.8).collect()
-    assert len(pairs) == 998 and {p.a for p in pairs} == {0, 1, 3, 5, 7}
