@@ -7,7 +7,7 @@ from leafpress.html.dom import parse
 from leafpress.plans import queries as catalogue
 
 #: Queries whose pages are read by the rule of their SQL: a reference ends with a semicolon.
-NAMES = ["page_title", "page_answer", "page_article", "page_chunks", "page_markdown", "page_own_rule", "page_references", "page_text"]
+NAMES = ["page_title", "page_answer", "page_article", "page_chunks", "page_markdown", "page_own_rule", "page_references", "page_text", "page_text_links_only"]
 
 
 def page(k: int, head: str) -> tuple[int, str, str]:
