@@ -37,6 +37,11 @@ def test_cut_references(spark, folder, name):
     compared(spark, folder, name, "page_id < 90")
 
 
+def test_warnings_at_the_limit(spark, folder):
+    """An estimate of 199.25 to 199.75 tokens is below 200."""
+    compared(spark, folder, "page_warnings", "page_id >= 90")
+
+
 def test_references_of_html():
     page = '<p title="a&amp b&quot;">&copy; &copy &ampx; &#65; &#65 &none;<script>a&amp&b</script>'
     assert parse(page).text_content() == "© © &x; A A &none;a&amp&b"
