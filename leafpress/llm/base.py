@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +49,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Statements within drop their shuffle files as they end, whatever still refers to them: release() comes too early while
+    Spark's listeners hold the plan. Before Spark 4.1 the setting is not known, and the files go with the driver's garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    had = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if had is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, had)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid4().hex}"

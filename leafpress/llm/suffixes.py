@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import Scratch, documents, sealed, small_batches, unsealed
+from .base import Scratch, documents, sealed, small_batches, tidy, unsealed
 
 SPAN, K = 50, 25
 #: Bytes before or after a frequent anchor that its strings meet by too: each string has them on one side.
@@ -411,8 +411,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(docs.sparkSession, 500)
     keep = Scratch(docs.sparkSession, "spans")
     texts = _texts(docs, id_col, text_col)
-    first = keep.table(texts.groupBy("t1", "t2").agg(F.min("did").alias("did")), "first")
-    frequent = _frequent(texts, first.count())
+    with tidy(docs.sparkSession):
+        first = keep.table(texts.groupBy("t1", "t2").agg(F.min("did").alias("did")), "first")
+        frequent = _frequent(texts, first.count())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -424,7 +425,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = texts.select("text", "t1").mapInArrow(emit, "hash long, t1 long")
     of_hash = Window.partitionBy("hash")
     shared = pairs.withColumn("many", F.min("t1").over(of_hash) < F.max("t1").over(of_hash)).filter("many").groupBy("t1").agg(F.collect_set("hash").alias("hashes"))
-    wanted = keep.table(first.drop("t2").join(shared, "t1", "left" if len(frequent) else "inner"), "anchors")
+    # Else the pairs' shuffle files lie beside those of the texts and the snippets.
+    with tidy(docs.sparkSession):
+        wanted = keep.table(first.drop("t2").join(shared, "t1", "left" if len(frequent) else "inner"), "anchors")
     sources = texts.select("did", "t1", "text").filter("text IS NOT NULL").join(wanted, ["t1", "did"])
 
     def snip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,7 +454,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     snippets = sources.mapInArrow(snip, "hash long, before int, snippet binary, dids array<long>, t1s array<long>, ats array<long>")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = keep.table(snippets.repartition(n, "hash").sortWithinPartitions("hash", "before", "snippet").mapInArrow(_runs, "t1 long, did long, first long, last long"), "runs")
+    with tidy(docs.sparkSession):
+        runs = keep.table(snippets.repartition(n, "hash").sortWithinPartitions("hash", "before", "snippet").mapInArrow(_runs, "t1 long, did long, first long, last long"), "runs")
     keep.drop("anchors")
 
     copies = texts.select("did", "t1", "t2", F.octet_length("text").alias("size")).filter(F.col("size") >= SPAN).join(first.withColumnRenamed("did", "least"), ["t1", "t2"]).filter("did > least")
